@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontam, mixing, quality
+from plumbline.llm import chat, decontam, line_dedup, mixing, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(_table(spark, sf_dir, "conversations"))
 
@@ -25,12 +29,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_chat, op6_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op3_line_dedup, op5_chat, op6_quality, op7_ngram_join, op10_decontamination)}
 
 
 _OP10_SQL = r"""
@@ -50,4 +58,4 @@ _OP10_SQL = r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.mix_sql("documents"), "op5_chat": chat.REPORT_SQL, "op10_decontamination": _OP10_SQL}
+    return {"op1_mixing": mixing.mix_sql("documents"), "op5_chat": chat.REPORT_SQL, "op7_ngram_join": ngram_join.SQL, "op10_decontamination": _OP10_SQL}
