@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontam, langid, license_scan, line_dedup, mixing, ngram_join, quality
+from plumbline.llm import chat, decontam, langid, license_scan, line_dedup, lm, mixing, ngram_join, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_line_dedup, op4_language, op5_chat, op6_quality, op7_ngram_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_line_dedup, op4_language, op5_chat, op6_quality, op7_ngram_join, op8_lm, op9_substring_dedup, op10_decontamination)}
 
 
 _OP10_SQL = r"""
