@@ -15,19 +15,20 @@ from plumbline.llm.scratch import stash
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, rid, n_shingles and component_id, the least doc_id reachable by links, of each row."""
+    """doc_id, rid, n_shingles, component_id (the least doc_id reachable by links) and comp (its own name) of each row."""
     found = setjoin.classes(setjoin.with_identity(docs, doc_id, text), setjoin.shingle_sets(n), percent=percent)
     items = found.items
     reps = items.filter("n > 0").groupBy("node").agg(F.min("doc").alias("least"))
     labelled = stash(reps.join(found.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
     least = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_node = stash(labelled.join(least, "comp").select("node", "component_id"), "by-node")
-    linked = items.filter("n > 0").join(by_node, "node").select("doc", "rid", "n", "component_id")
-    return linked.unionByName(items.filter("n = 0").select("doc", "rid", "n", F.col("doc").alias("component_id"))).select(F.col("doc").alias("doc_id"), "rid", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    by_node = stash(labelled.join(least, "comp").select("node", "component_id", "comp"), "by-node")
+    linked = items.filter("n > 0").join(by_node, "node").select("doc", "rid", "n", "component_id", "comp")
+    alone = items.filter("n = 0").select("doc", "rid", "n", F.col("doc").alias("component_id"), F.col("rid").alias("comp"))
+    return linked.unionByName(alone).select(F.col("doc").alias("doc_id"), "rid", F.col("n").cast("long").alias("n_shingles"), "component_id", "comp")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return join(docs).drop("rid")
+    return join(docs).drop("rid", "comp")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,7 +37,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     found = join(own, doc_id=i, text=t)
-    first = found.filter("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("rid")).alias("own")).agg(F.min("rid").alias("rid")).select("rid")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    first = found.groupBy("comp", F.col("n_shingles") > 0).agg(least.alias("m")).select(F.col("m.rid").alias("rid"))
     rows = own.withColumn("rid", F.xxhash64(i, t)).join(stash(first, "first"), "rid", "left_semi")
     once = rows.dropDuplicates(["rid"])
     return once.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(names)])
