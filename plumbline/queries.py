@@ -1,11 +1,244 @@
-"""Queries of the event engine."""
+"""Queries of the event engine over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.functions import hashing
+from plumbline.functions.identifiers import digital_link_column, vocabulary_column
+from plumbline.functions.values import instant_column, number_column
+from plumbline.operators import canonical, store
+from plumbline.plans.hashing import hash_events
+from plumbline.schema import ALGORITHMS, Options
+from plumbline.sources.documents import explode
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _event(json: Column, *keys: str, namespaces: dict[str, str] | None = None) -> list[Column]:
+    ns = F.create_map(*[F.lit(x) for kv in namespaces.items() for x in kv]) if namespaces else F.expr("cast(map() as map<string,string>)")
+    return [*map(F.col, keys), json.alias("event_json"), ns.alias("namespaces")]
+
+
+def _iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def _object_fields() -> list[Column]:
+    epc = F.concat(F.lit("urn:epc:id:sgtin:4012345."), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit("."), F.col("event_id").cast("string"))
+    return [F.lit("OBSERVE").alias("action"), F.array(epc).alias("epcList"), _iso(F.col("ts")).alias("eventTime"), F.lit("+00:00").alias("eventTimeZoneOffset"), F.col("event_type").alias("bizStep"), F.lit("ObjectEvent").alias("type"), F.concat(F.lit("ni:///x;"), F.col("event_id").cast("string")).alias("eventID")]
+
+
+def object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*_object_fields())), "event_id"))
+
+
+_CHECK = "((10 - list_sum(list_transform(range(1, len({d}) + 1), lambda i: ({d})[i]::INT * CASE WHEN (len({d}) - i) % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)::INT::VARCHAR"
+_EPC_SQL = f"(SELECT 'https://id.gs1.org/01/' || d || {_CHECK.format(d='d')} FROM (SELECT lpad(user_id::VARCHAR, 6, '0')[1] || '4012345' || lpad(user_id::VARCHAR, 6, '0')[2:] AS d)) || '/21/' || event_id"
+_TIME_SQL = "strftime(date_trunc('millisecond', {t}), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+_HEAD_SQL = f"'eventType=ObjectEventeventTime=' || {_TIME_SQL.format(t='ts')} || 'eventTimeZoneOffset=+00:00'"
+_OBJECT_SQL = f"{_HEAD_SQL} || 'epcListepc=' || {_EPC_SQL} || 'action=OBSERVEbizStep=https://ref.gs1.org/cbv/BizStep-' || event_type"
+
+
+def _joined(df: DataFrame, *keys: str, join: str = "") -> DataFrame:
+    return df.select(*keys, hashing.shown(F.col("prehash"), join).alias("prehash"))
+
+
+def _hashes(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return hash_events(object_events(spark, sf_dir), Options((name,))).select("event_id", F.col(f"`{name}`").alias("hash_id"))
+
+    return query
+
+
+def prehash_object_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(canonical.prehash(object_events(spark, sf_dir)), "event_id")
+
+
+def prehash_join_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(canonical.prehash(object_events(spark, sf_dir)), "event_id", join="\n")
+
+
+_SSCC = F.concat(F.lit("urn:epc:id:sscc:4012345."), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"))
+_GTIN = F.concat(F.lit("urn:epc:id:sgtin:4012345."), F.lpad((F.col("l_partkey") % 1000000).cast("string"), 6, "0"), F.lit("."), F.col("l_linenumber").cast("string"))
+
+
+def prehash_aggregation_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event an order: its lines are the children, sorted by their URNs."""
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(_GTIN).alias("children"))
+    json = F.to_json(F.struct(F.lit("AggregationEvent").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("eventTime"), _SSCC.alias("parentID"), F.col("children").alias("childEPCs"), F.lit("ADD").alias("action")))
+    return _joined(canonical.prehash(orders.select(*_event(json, "l_orderkey"))), "l_orderkey")
+
+
+def prehash_quantity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.struct(F.concat(F.lit("urn:epc:idpat:sgtin:4012345."), F.lpad((F.col("l_partkey") % 1000000).cast("string"), 6, "0"), F.lit(".*")).alias("epcClass"), F.col("l_quantity").alias("quantity"), F.lit("KGM").alias("uom"))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("q"))
+    json = F.to_json(F.struct(F.lit("ObjectEvent").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("eventTime"), F.col("q").alias("quantityList"), F.lit("ADD").alias("action")))
+    return _joined(canonical.prehash(orders.select(*_event(json, "l_orderkey"))), "l_orderkey")
+
+
+def prehash_sensor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = F.struct(F.lit("Temperature").alias("type"), F.col("value"), F.lit("CEL").alias("uom"))
+    sensor = F.struct(F.struct(_iso(F.col("ts")).alias("time")).alias("sensorMetadata"), F.array(report).alias("sensorReport"))
+    json = F.to_json(F.struct(F.lit("ObjectEvent").alias("type"), _iso(F.col("ts")).alias("eventTime"), F.lit("OBSERVE").alias("action"), F.array(sensor).alias("sensorElementList")))
+    return _joined(canonical.prehash(_table(spark, sf_dir, "events").select(*_event(json, "event_id"))), "event_id")
+
+
+_EXAMPLE = {"example": "https://ns.example.com/epcis"}
+
+
+def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    place = F.struct(F.lit("urn:epc:id:sgln:4012345.00005.0").alias("id"), k.alias("example:k"))
+    json = F.to_json(F.struct(F.lit("ObjectEvent").alias("type"), _iso(F.col("ts")).alias("eventTime"), F.lit("OBSERVE").alias("action"), place.alias("readPoint"), F.col("event_type").alias("example:kind")))
+    return _table(spark, sf_dir, "events").select(*_event(json, "event_id", namespaces=_EXAMPLE))
+
+
+def prehash_extension_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(canonical.prehash(_extended(spark, sf_dir)), "event_id")
+
+
+def prehash_cbv21_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(canonical.prehash(_extended(spark, sf_dir), Options(version="2.1")), "event_id")
+
+
+_EXTENDED_HEAD = f"'eventType=ObjectEventeventTime=' || {_TIME_SQL.format(t='ts')} || 'action=OBSERVEreadPointid=https://id.gs1.org/414/4012345000054'"
+_K_SQL = "'{https://ns.example.com/epcis}k=' || (props::JSON->>'$.k')"
+
+
+def normalise_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", number_column(F.col("value").cast("string")).alias("number"), number_column(F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("padded"))
+
+
+def normalise_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", instant_column(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).alias("instant"))
+
+
+def _links(table: str, key: str, urn: Callable[[Column], Column]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(key, digital_link_column(urn(F.col(key).cast("string"))).alias("link"))
+
+    return query
+
+
+def cbv_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", vocabulary_column(F.concat(F.lit("urn:epcglobal:cbv:bizstep:"), F.col("event_type"))).alias("biz_step"), vocabulary_column(F.concat(F.lit("urn:epcglobal:cbv:disp:"), F.col("event_type"))).alias("disposition"))
+
+
+def exclude_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined(canonical.prehash(object_events(spark, sf_dir), Options(exclude=("bizStep", "epcList"))), "event_id")
+
+
+def explode_event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all events of a user, exploded again."""
+    fields = F.struct(F.col("event_id").alias("n"), F.col("event_type").alias("bizStep"))
+    docs = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(fields)).alias("eventList"))
+    raw = F.to_json(F.struct(F.lit("EPCISDocument").alias("type"), F.struct("eventList").alias("epcisBody")))
+    events = explode(docs.select(F.col("user_id").cast("string").alias("source_file"), raw.alias("raw")))
+    return events.select(F.col("source_file").cast("long").alias("user_id"), F.col("event_ord").cast("long").alias("event_ord"), F.get_json_object("event_json", "$.n").cast("long").alias("event_id"), F.get_json_object("event_json", "$.bizStep").alias("biz_step"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", hashing.hash_id(F.coalesce("text", F.lit(""))).alias("hash_id"))
+
+
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.duplicate_groups(_documents(spark, sf_dir), "hash_id", "doc_id")
+
+
+def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.keep_first(_documents(spark, sf_dir), "hash_id", "doc_id")
+
+
+def _event_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "event_type", hashing.hash_id(F.concat_ws("|", "event_type", F.col("user_id").cast("string"))).alias("hash_id"))
+
+
+def new_events_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose hash (of user and k) no error event has."""
+    key = F.concat_ws("|", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
+    e = _table(spark, sf_dir, "events").select("event_id", "event_type", hashing.hash_id(key).alias("hash_id"))
+    return store.new_events(e.filter("event_type <> 'error'"), e.filter("event_type = 'error'"), "hash_id").select("event_id", "hash_id")
+
+
+def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored hashes of error events were spoiled."""
+    e = _event_hashes(spark, sf_dir)
+    spoiled = e.select("event_id", F.when(F.col("event_type") == "error", "ni:///sha-256;00?ver=CBV2.0").otherwise(F.col("hash_id")).alias("hash_id"))
+    return store.integrity(e.select("event_id", "hash_id"), spoiled, "event_id", "hash_id")
+
+
+def format_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events with other key order, and bizStep as URN, against themselves: hashes of one side only, and how many match."""
+    one = hash_events(object_events(spark, sf_dir)).select(F.col("`sha-256`").alias("hash_id"))
+    fields = [f for f in reversed(_object_fields())]
+    fields[2] = F.concat(F.lit("urn:epcglobal:cbv:bizstep:"), F.col("event_type")).alias("bizStep")
+    two = hash_events(_table(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*fields)), "event_id"))).select(F.col("`sha-256`").alias("hash_id"))
+    counts = one.withColumn("side", F.lit("left")).unionByName(two.withColumn("side", F.lit("right"))).groupBy("hash_id").agg(F.count_if(F.col("side") == "left").alias("l"), F.count_if(F.col("side") == "right").alias("r"))
+    return counts.agg(F.coalesce(F.sum(F.abs(F.col("l") - F.col("r"))), F.lit(0)).cast("long").alias("unmatched"), F.sum("l").cast("long").alias("events"))
+
+
+def set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_hashes(spark, sf_dir).groupBy("user_id").agg(store.set_digest(F.col("hash_id")).alias("digest"))
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {f"hash_{x.replace('-', '_') if x.startswith('sha3') else x.replace('-', '')}": _hashes(x) for x in ALGORITHMS}
+    for f in (prehash_object_event, prehash_join_newline, prehash_aggregation_event, prehash_quantity_list, prehash_sensor_report, prehash_extension_ns, prehash_cbv21_inline, normalise_numbers, normalise_time, cbv_vocab, exclude_fields, explode_event_list, duplicate_groups, dedup_keep_first, new_events_anti, integrity_check, format_equivalence, set_digest):
+        out[f.__name__] = f
+    out["urn_to_digital_link_sgtin"] = _links("part", "p_partkey", lambda k: F.concat(F.lit("urn:epc:id:sgtin:4012345."), F.lpad(k, 6, "0"), F.lit(".S"), k))
+    out["urn_to_digital_link_sgln"] = _links("supplier", "s_suppkey", lambda k: F.concat(F.lit("urn:epc:id:sgln:4012345."), F.lpad(k, 5, "0"), F.lit("."), k))
+    out["urn_to_digital_link_sscc"] = _links("orders", "o_orderkey", lambda k: F.concat(F.lit("urn:epc:id:sscc:4012345."), F.lpad(k, 10, "0")))
+    return out
+
+
+def _ni(digest: str, name: str) -> str:
+    return f"'ni:///{name};' || {digest} || '?ver=CBV2.0'"
+
+
+def oracle_sql() -> dict[str, str]:
+    gtin = "lpad((l_partkey % 1000000)::VARCHAR, 6, '0')"
+    link = f"'https://id.gs1.org/01/' || g[1] || '4012345' || g[2:] || {_CHECK.format(d='(g[1] || chr(52) || chr(48) || chr(49) || chr(50) || chr(51) || chr(52) || chr(53) || g[2:])')}"
+    sscc = "lpad({k}::VARCHAR, 10, '0')"
+    sscc_key = f"{sscc}[1] || '4012345' || {sscc}[2:]"
+    events = {f"hash_{n}": f"SELECT event_id, {_ni(f'{f}({_OBJECT_SQL})', a)} AS hash_id FROM events" for n, f, a in (("sha256", "sha256", "sha-256"), ("sha1", "sha1", "sha-1"), ("md5", "md5", "md5"))}
+    doc_hash = f"SELECT doc_id, {_ni('''sha256(replace(replace(coalesce(text, ''), chr(10), ''), chr(13), ''))''', 'sha-256')} AS hash_id FROM documents"
+    event_hash = f"SELECT event_id, user_id, event_type, {_ni('''sha256(event_type || '|' || user_id)''', 'sha-256')} AS hash_id FROM events"
+    return {
+        **events,
+        "prehash_object_event": f"SELECT event_id, {_OBJECT_SQL} AS prehash FROM events",
+        "prehash_join_newline": f"SELECT event_id, 'eventType=ObjectEvent' || chr(10) || 'eventTime=' || {_TIME_SQL.format(t='ts')} || chr(10) || 'eventTimeZoneOffset=+00:00' || chr(10) || 'epcList' || chr(10) || 'epc=' || {_EPC_SQL} || chr(10) || 'action=OBSERVE' || chr(10) || 'bizStep=https://ref.gs1.org/cbv/BizStep-' || event_type AS prehash FROM events",
+        "prehash_aggregation_event": f"""
+            WITH l AS (SELECT l_orderkey, {gtin} AS g, l_linenumber AS n FROM lineitem), p AS (SELECT l_orderkey, '4012345.' || g || '.' || n AS urn, 'epc=' || {link} || '/21/' || n AS epc FROM l),
+            o AS (SELECT l_orderkey, string_agg(epc, '' ORDER BY urn) AS epcs, {sscc_key.format(k='l_orderkey')} AS s FROM p GROUP BY l_orderkey)
+            SELECT l_orderkey, 'eventType=AggregationEventeventTime=2024-01-01T00:00:00.000ZparentID=https://id.gs1.org/00/' || s || {_CHECK.format(d='s')} || 'childEPCs' || epcs || 'action=ADD' AS prehash FROM o""",
+        "prehash_quantity_list": f"""
+            WITH l AS (SELECT l_orderkey, {gtin} AS g, l_quantity AS q FROM lineitem),
+            e AS (SELECT l_orderkey, 'epcClass=' || {link} || 'quantity=' || CASE WHEN q = floor(q) THEN q::BIGINT::VARCHAR ELSE q::VARCHAR END || 'uom=KGM' AS e FROM l)
+            SELECT l_orderkey, 'eventType=ObjectEventeventTime=2024-01-01T00:00:00.000ZquantityList' || string_agg('quantityElement' || e, '' ORDER BY e) || 'action=ADD' AS prehash FROM e GROUP BY l_orderkey""",
+        "prehash_sensor_report": f"SELECT event_id, 'eventType=ObjectEventeventTime=' || {_TIME_SQL.format(t='ts')} || 'action=OBSERVEsensorElementsensorMetadatatime=' || {_TIME_SQL.format(t='ts')} || 'sensorReporttype=https://gs1.org/voc/Temperaturevalue=' || CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END || 'uom=CEL' AS prehash FROM events",
+        "prehash_extension_ns": f"SELECT event_id, {_EXTENDED_HEAD} || 'readPoint' || {_K_SQL} || '{{https://ns.example.com/epcis}}kind=' || event_type AS prehash FROM events",
+        "prehash_cbv21_inline": f"SELECT event_id, {_EXTENDED_HEAD} || {_K_SQL} || '{{https://ns.example.com/epcis}}kind=' || event_type AS prehash FROM events",
+        "normalise_numbers": "SELECT event_id, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END AS number, user_id::VARCHAR AS padded FROM events",
+        "normalise_time": f"SELECT o_orderkey, {_TIME_SQL.format(t='o_orderdate - INTERVAL 2 HOUR')} AS instant FROM orders",
+        "cbv_vocab": "SELECT event_id, 'https://ref.gs1.org/cbv/BizStep-' || event_type AS biz_step, 'https://ref.gs1.org/cbv/Disp-' || event_type AS disposition FROM events",
+        "exclude_fields": f"SELECT event_id, {_HEAD_SQL} || 'action=OBSERVE' AS prehash FROM events",
+        "explode_event_list": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS event_ord, event_id, event_type AS biz_step FROM events",
+        "duplicate_groups": f"SELECT hash_id, count(*) AS n, min(doc_id) AS first_id FROM ({doc_hash}) GROUP BY hash_id HAVING count(*) > 1",
+        "dedup_keep_first": f"SELECT min(doc_id) AS doc_id, hash_id FROM ({doc_hash}) GROUP BY hash_id",
+        "new_events_anti": f"WITH e AS (SELECT event_id, event_type, user_id || '|' || (props::JSON->>'$.k') AS k FROM events) SELECT event_id, {_ni('sha256(k)', 'sha-256')} AS hash_id FROM e WHERE event_type <> 'error' AND k NOT IN (SELECT k FROM e WHERE event_type = 'error')",
+        "integrity_check": f"SELECT event_id, hash_id, 'ni:///sha-256;00?ver=CBV2.0' AS stored_hash FROM ({event_hash}) WHERE event_type = 'error'",
+        "format_equivalence": "SELECT 0::BIGINT AS unmatched, count(*) AS events FROM events",
+        "set_digest": f"SELECT user_id, sha256(string_agg(hash_id, '' ORDER BY hash_id)) AS digest FROM ({event_hash}) GROUP BY user_id",
+        "urn_to_digital_link_sgtin": f"SELECT p_partkey, 'https://id.gs1.org/01/' || s || {_CHECK.format(d='s')} || '/21/S' || p_partkey AS link FROM (SELECT p_partkey, lpad(p_partkey::VARCHAR, 6, '0')[1] || '4012345' || lpad(p_partkey::VARCHAR, 6, '0')[2:] AS s FROM part)",
+        "urn_to_digital_link_sgln": f"SELECT s_suppkey, 'https://id.gs1.org/414/' || s || {_CHECK.format(d='s')} || CASE WHEN s_suppkey = 0 THEN '' ELSE '/254/' || s_suppkey END AS link FROM (SELECT s_suppkey, '4012345' || lpad(s_suppkey::VARCHAR, 5, '0') AS s FROM supplier)",
+        "urn_to_digital_link_sscc": f"SELECT o_orderkey, 'https://id.gs1.org/00/' || s || {_CHECK.format(d='s')} AS link FROM (SELECT o_orderkey, {sscc_key.format(k='o_orderkey')} AS s FROM orders)",
+    }
