@@ -40,6 +40,8 @@ SEEN = 300_000
 BROADCAST_IDS = 500_000
 #: Cross-component pairs that are compared at once, as a multiple of the rows they come from.
 PAIRS_PER_ROW = 8
+#: Rounds with further hubs before all cross-component pairs are compared at any rate.
+HUB_ROUNDS = 6
 
 
 @dataclass
@@ -335,22 +337,24 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
     order = Order.of(total_counts(scanned.filter("slice is not null").select("slice", "counts")))
     live = stash(with_hubs(postings(docs, extract, order, percent)), "live")
     links = spark.createDataFrame([], "a long, b long")
-    tested = links
+    tested = None
     comps = spark.createDataFrame([], "node long, comp long")
     members = stash(live.select("token", "node", "np").unionByName(live.select("token", F.col("hub").alias("node"), F.col("hub_np").alias("np"))).distinct(), "members")
     pairs = live.filter(could_match(F.col("np"), F.col("hub_np"), percent)).select("hub", "node")
-    final = False
+    final, rounds = False, 0
     while True:
-        pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
+        pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = stash(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
             found = items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
             wanted = stash(found.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
             sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets")
-            links = stash(links.unionByName(verified(pairs, sets, percent).distinct()), "links")
-            tested = stash(tested.unionByName(pairs), "tested")
-            comps = stash(components(links), "comps")
+            new = stash(verified(pairs, sets, percent).distinct(), "links")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                comps = stash(components(links), "comps")
         if final:
             return Classes(items, links, comps)
         # What shares a prefix token across components.
@@ -360,9 +364,9 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
         n, cross = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
         if not n:
             return Classes(items, links, comps)
-        before = comps
-        if cross > PAIRS_PER_ROW * n + 100_000 and not (pairs.isEmpty() or before.isEmpty()):
-            hub = mixed.groupBy("token").agg(F.min_by(F.struct("node", "np", "comp"), F.xxhash64("node", F.lit(tested.count()))).alias("h")).select("token", "h.*")
+        rounds += 1
+        if cross > PAIRS_PER_ROW * n + 100_000 and rounds <= HUB_ROUNDS:
+            hub = mixed.groupBy("token").agg(F.min_by(F.struct("node", "np", "comp"), F.xxhash64("node", F.lit(rounds))).alias("h")).select("token", "h.*")
             x, y = mixed.alias("x"), stash(hub, "hubs").alias("y")
             pairs = x.join(y, "token").filter((F.col("x.comp") != F.col("y.comp")) & could_match(F.col("x.np"), F.col("y.np"), percent)).select("x.node", "y.node")
         else:
