@@ -45,21 +45,24 @@ def escape_sql(text: str) -> str:
     return out
 
 
-def paths(messages: DataFrame, *, most_depth: int = 1 << 20) -> DataFrame:
+def paths(messages: DataFrame) -> DataFrame:
     """The best root-to-leaf path of each tree: tree, path_score, depth (0 at the root) and id of the messages on it.
 
-    messages: tree, id, parent (null at the root), score double. Joins go on until no message has an ancestor further up.
+    messages: tree, id, parent (null at the root), score double. Joins go on until no message finds its root any more.
     """
     m = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = m.select(F.col("tree").alias("t2"), F.col("id").alias("i2"))
     m = m.join(ids, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("i2")), "left")
     # up: the ancestor 2**k above, if any; depth and sum: over the messages from here to below it.
     jumps = [stash(m.select("tree", "id", F.col("i2").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("sum")), "chat-0")]
-    while not jumps[-1].filter("up is not null").isEmpty() and 1 << len(jumps) <= 2 * most_depth:
+    # Every round finds the roots of messages up to twice as deep; one that finds none has only cycles left.
+    before, found = -1, jumps[-1].filter("up is null").count()
+    while found != before and not jumps[-1].filter("up is not null").isEmpty():
         a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
         j = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")), "left")
         j = j.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.sum") + F.coalesce("b.sum", F.lit(0.0))).alias("sum"))
         jumps.append(stash(j, f"chat-{len(jumps)}"))
+        before, found = found, jumps[-1].filter("up is null").count()
     parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
     rooted = jumps[-1].filter("up is null")  # all but messages on or below a cycle
     leaves = rooted.join(parents, ["tree", "id"], "left_anti")

@@ -35,7 +35,7 @@ def size_of(text: Column) -> Column:
 def quality_of(text: Column, size: Column) -> Column:
     """The weight of a document: 1 for text without symbols, less the more of them it has for each word."""
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.coalesce(size.cast("double") / (size + symbols).cast("double"), F.lit(1.0))
+    return F.coalesce(F.try_divide(size.cast("double"), (size + symbols).cast("double")), F.lit(1.0))
 
 
 def key_of(doc_id: Column, quality: Column, seed: str) -> Column:
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", size
     own = stash(own.withColumn("range", F.floor(F.lit(float(RANGES)) * (1 - F.exp(-F.col("key")))).cast("int")), "mix-sizes")
     by_range = stash(own.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     plan = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most_epochs)
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0).cast("long"))
     plan = stash(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
     # Ranges below the one where the sum passes the rest are taken, those above are not.
     sums = by_range.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("p.source", "range", "range_size", "rest")

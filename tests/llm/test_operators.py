@@ -33,14 +33,30 @@ def test_sql(spark, name):
     assert got.sort_values(order).reset_index(drop=True).equals(want.sort_values(order).reset_index(drop=True).astype(got.dtypes.to_dict()))
 
 
-def test_odd_and_empty_rows(spark):
-    docs, items = odd(spark), spark.createDataFrame([("i", "one two one"), (None, None), ("e", "")], "item_id string, text string")
-    for f in (mixing.mix_documents, quality.report, license_scan.report, langid.report, ngram_join.report, line_dedup.report, lm.report, lambda d: decontam.report(d, items)):
-        assert f(docs).count() == docs.count()
-        assert f(docs.limit(0)).count() == 0
-    for f in (quality.keep_good, line_dedup.dedup, ngram_join.keep_first, lambda d: decontam.decontaminate(d, items)):
-        assert f(docs).columns == docs.columns
-    assert substring.report(docs).count() >= 0 and substring.report(docs.limit(0)).count() == 0
+ITEMS = [("i", "one two one"), (None, None), ("e", "")]
+REPORTS = {
+    "mixing": lambda d, i: mixing.mix_documents(d), "quality": lambda d, i: quality.report(d), "licenses": lambda d, i: license_scan.report(d), "language": lambda d, i: langid.report(d),
+    "ngrams": lambda d, i: ngram_join.report(d), "lines": lambda d, i: line_dedup.report(d), "lm": lambda d, i: lm.report(d), "decontamination": decontam.report,
+}
+FILTERS = {"quality": lambda d, i: quality.keep_good(d), "lines": lambda d, i: line_dedup.dedup(d), "ngrams": lambda d, i: ngram_join.keep_first(d), "decontamination": decontam.decontaminate}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_odd_and_empty_rows(spark, name):
+    docs, items = odd(spark), spark.createDataFrame(ITEMS, "item_id string, text string")
+    assert len(REPORTS[name](docs, items).collect()) == 2 * len(ODD) + 1
+    assert REPORTS[name](docs.limit(0), items.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_odd_filters(spark, name):
+    docs, items = odd(spark), spark.createDataFrame(ITEMS, "item_id string, text string")
+    out = FILTERS[name](docs, items)
+    assert out.columns == docs.columns and len(out.collect()) <= 2 * len(ODD) + 1
+
+
+def test_odd_substrings(spark):
+    assert substring.report(odd(spark)).count() >= 0 and substring.report(odd(spark).limit(0)).count() == 0
 
 
 def test_quality(spark):
