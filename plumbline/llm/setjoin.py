@@ -5,15 +5,20 @@
 2. Those counts (a table of fixed size, hence broadcast) put all tokens into one order, rare first. Any fixed order keeps the join
    exact; a counter shared by two tokens only makes one of them look more frequent. The second pass emits the prefix of each
    set in that order: as many tokens as must hold one of any set that is similar enough.
-3. Rows meet by token. Sets that pass the length and positional filters are candidates. Not all pairs of a token are formed:
-   each set is compared with the token's hub (the set with the least of rare tokens, which in a group of copies is the one that
-   the others were made from). Verified pairs are links; connected sets need no further comparing with each other.
-4. What is left are pairs with a common prefix token in different components. They all are compared, too: with further hubs as
+3. Rows meet by token. The first set of a token (the one with the least of rare tokens, which in a group of copies is the one that
+   the others were made from) is a leader: every other set that passes the length, positional and bitmap filters with it is a
+   candidate, and follows it. The next set that follows none leads next, until none is left. So not all pairs of a token are formed,
+   and only those between followers are open. Verified pairs are links; connected sets need no further comparing with each other.
+4. What is left are pairs of followers with a common prefix token in different components. They all are compared, too: with hubs as
    long as there are many, then every one of them. So every link either is verified or lies within a class.
 
+The bitmap filter: each token flips one of 64 bits of its set. Every bit in which two sets differ is a token in one of them only, so
+sets with more such bits than a similar pair may have of such tokens can't be similar.
+
 A pair is verified once: suffix filter, then the whole sets, fetched from the texts of one item of each node.
 
-Frequent tokens are dealt out to several hubs, by node; a task passes on only the first of equal sets that it meets.
+Sets of frequent tokens are dealt out to several tasks, by node, and all of them count as followers; a task passes on only the first of
+equal sets that it meets.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from plumbline.llm.words import SPACES, U, Words, mix, words, _ODD
 
 BITS = 20
 SLICES = 64
-#: Rows of a token that go to one hub at least, and as a multiple of the mean count; see salts.
+#: Rows of a token that stay together at least, and as a multiple of the mean count; see salts.
 HUB_ROWS, HUB_MEANS = 50_000, 8
 #: Signatures that a task remembers, to pass on equal sets once.
 SEEN = 300_000
@@ -172,7 +177,7 @@ def total_counts(slices: DataFrame) -> np.ndarray:
 
 @dataclass
 class Order:
-    """The order of tokens: by level (8 steps for each doubling of the count), then by hash. salts: hubs that a token's rows are dealt to."""
+    """The order of tokens: by level (8 steps for each doubling of the count), then by hash. salts: parts that a token's rows are dealt to."""
 
     level: np.ndarray
     salts: np.ndarray
@@ -188,11 +193,12 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-_POSTINGS = "token long, sc int, node long, np long"
+_POSTINGS = "token long, sc int, node long, np long, bits long"
 
 
 def postings(docs: DataFrame, extract: Extract, order: Order, percent: int) -> DataFrame:
-    """Prefix tokens of the sets: token, sc (salt << 16 | score, the hub has the least), node, np (size << 32 | place in the order)."""
+    """Prefix tokens of the sets: token, sc (part << 16 | score, the first leader has the least; part 0 if the token has one part only), node,
+    np (size << 32 | place in the order), bits (see the bitmap filter)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,48 +227,95 @@ def postings(docs: DataFrame, extract: Extract, order: Order, percent: int) -> D
                 at, place, item = at[keep], place[keep], item[at][keep]
                 token = s.token[at]
                 salts = o.salts[(token >> U(64 - BITS)).astype(np.int64)]
-                salt = (mix(node[item].view(U)) % salts.astype(U)).astype(np.int64)
-                yield _batch({"token": token.view(np.int64), "sc": (salt << 16 | score[item]).astype(np.int32), "node": node[item], "np": n[item].astype(np.int64) << 32 | place})
+                salt = np.where(salts > 1, 1 + (mix(node[item].view(U)) % salts.astype(U)).astype(np.int64), 0)
+                bits = np.bitwise_xor.reduceat(np.append(U(1) << (s.token & U(63)), U(0)), s.first[:-1]).view(np.int64)
+                yield _batch({"token": token.view(np.int64), "sc": (salt << 16 | score[item]).astype(np.int32), "node": node[item], "np": n[item].astype(np.int64) << 32 | place, "bits": bits[item]})
 
     return docs.mapInArrow(run, _POSTINGS)
 
 
-def with_hubs(rows: DataFrame) -> DataFrame:
-    """Postings of tokens with two sets or more, but the hub's own, each with the hub: token, node, np, hub, hub_np."""
+def led(new: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, follower): rows that may match, of groups that start where new is true. All groups choose their next leaders at once."""
+    group = np.cumsum(new) - 1
+    rows = np.flatnonzero(np.bincount(group)[group] > 1)
+    lead, free = np.full(len(new), -1), np.ones(len(new), bool)
+    leaders, followers = [rows[:0]], [rows[:0]]
+    while len(rows):
+        own = group[rows]
+        left = rows[free[rows]]
+        heads = left[np.append(True, group[left[1:]] != group[left[:-1]])] if len(left) else left
+        lead[own] = -1
+        lead[group[heads]] = heads
+        free[heads] = False
+        by = lead[own]
+        on = (by >= 0) & (by != rows)
+        rows, by = rows[on], by[on]
+        ok = may_match(size[by], bits[by], size[rows], bits[rows], percent)
+        leaders.append(by[ok])
+        followers.append(rows[ok])
+        free[rows[ok]] = False
+    return np.concatenate(leaders), np.concatenate(followers)
+
+
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """token, node, np, bits, leader, member. Candidates: rows with a leader. Sets that are still to be compared with each other: rows
+    with member true, once for each token; those are all sets of a token with several parts, of others the followers, if many."""
+
+    def found(token: np.ndarray, sc: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        part = sc >> 16
+        new = np.append(True, (token[1:] != token[:-1]) | (part[1:] != part[:-1]))
+        own = new | np.append(True, node[1:] != node[:-1])  # equal sets are next to each other
+        token, part, node, size, bits, new = (x[own] for x in (token, part, node, size, bits, new))
+        leader, row = led(new, size, bits, percent)
+        at, first = np.unique(row, return_index=True)
+        group = np.cumsum(new) - 1
+        member = np.zeros(len(row), bool)
+        member[first] = (np.bincount(group[at], minlength=group[-1] + 1)[group[at]] > 1) | (part[at] > 0)
+        rest = np.setdiff1d(np.flatnonzero(part > 0), at)
+        row, member = np.append(row, rest), np.append(member, np.ones(len(rest), bool))
+        leader = pa.array(np.append(node[leader], np.zeros(len(rest), np.int64)), mask=np.arange(len(row)) >= len(leader))
+        return _batch({"token": token[row], "node": node[row], "np": size[row], "bits": bits[row], "leader": leader, "member": member})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, salt, node of the row before
-        hub = (0, 0)
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            token, sc, node, size = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            if not len(token):
+            if not batch.num_rows:
                 continue
-            salt = sc >> 16
-            new = np.empty(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-            new[0] = last is None or (token[0], salt[0]) != last[:2]
-            again = np.empty(len(token), bool)
-            again[1:] = ~new[1:] & (node[1:] == node[:-1])
-            again[0] = not new[0] and node[0] == last[2]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            hubs = np.where(start < 0, hub[0], node[start])
-            sizes = np.where(start < 0, hub[1], size[start])
-            keep = ~new & ~again & (node != hubs)
-            last, hub = (token[-1], salt[-1], node[-1]), (hubs[-1], sizes[-1])
-            if keep.any():
-                yield _batch({"token": token[keep], "node": node[keep], "np": size[keep], "hub": hubs[keep], "hub_np": sizes[keep]})
+            here = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            held = here if held is None else [np.concatenate(x) for x in zip(held, here, strict=True)]
+            # The last group may go on in the next batch.
+            last = (held[0] == held[0][-1]) & (held[1] >> 16 == held[1][-1] >> 16)
+            cut = int(np.argmax(last))
+            if cut:
+                yield found(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield found(*held)
 
     together = rows.repartition("token", F.shiftright("sc", 16)).sortWithinPartitions("token", "sc", "node")
-    return together.mapInArrow(run, "token long, node long, np long, hub long, hub_np long")
+    return together.mapInArrow(run, "token long, node long, np long, bits long, leader long, member boolean")
+
+
+def may_match(a: np.ndarray, a_bits: np.ndarray, b: np.ndarray, b_bits: np.ndarray, percent: int) -> np.ndarray:
+    """Length, positional and bitmap filter on (size << 32 | place) of a common token, the first one in the order, and bits."""
+    na, nb = a >> 32, b >> 32
+    both = na + nb
+    rest = np.minimum(na - (a & 0xFFFFFFFF), nb - (b & 0xFFFFFFFF))
+    most = both - 2 * -(-percent * both // (100 + percent))
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (rest * (100 + percent) >= percent * both) & (np.bitwise_count((a_bits ^ b_bits).view(U)) <= most)
 
 
-def could_match(a: Column, b: Column, percent: int) -> Column:
-    """Length and positional filter on (size << 32 | place) of a common token, the first one in the order."""
-    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
-    pa_, pb = a.bitwiseAND(F.lit(0xFFFFFFFF)), b.bitwiseAND(F.lit(0xFFFFFFFF))
+def could_match(a: str, b: str, percent: int) -> Column:
+    """The same as may_match, of the rows with these aliases."""
+    x, y = F.col(f"{a}.np"), F.col(f"{b}.np")
+    na, nb = F.shiftright(x, 32), F.shiftright(y, 32)
+    px, py = x.bitwiseAND(F.lit(0xFFFFFFFF)), y.bitwiseAND(F.lit(0xFFFFFFFF))
+    both = na + nb
     length = (100 * F.least(na, nb)) >= percent * F.greatest(na, nb)
-    need = percent * (na + nb)  # overlap * (100 + percent) must reach this
-    return length & (F.least(na - pa_, nb - pb) * (100 + percent) >= need)
+    place = F.least(na - px, nb - py) * (100 + percent) >= percent * both
+    # Bits count tokens in one set only: both - 2 * overlap, where overlap * (100 + percent) >= percent * both.
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return length & place & ((both - differ) * (100 + percent) >= 2 * percent * both)
 
 
 def differ_at_least(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -335,12 +388,12 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
     scanned = stash(scan(docs, extract, every), "items")
     items = scanned.filter("slice is null").select("doc", "rid", "line", "n", "node")
     order = Order.of(total_counts(scanned.filter("slice is not null").select("slice", "counts")))
-    live = stash(with_hubs(postings(docs, extract, order, percent)), "live")
+    met = stash(meetings(postings(docs, extract, order, percent), percent), "met")
     links = spark.createDataFrame([], "a long, b long")
     tested = None
     comps = spark.createDataFrame([], "node long, comp long")
-    members = stash(live.select("token", "node", "np").unionByName(live.select("token", F.col("hub").alias("node"), F.col("hub_np").alias("np"))).distinct(), "members")
-    pairs = live.filter(could_match(F.col("np"), F.col("hub_np"), percent)).select("hub", "node")
+    members = met.filter("member").select("token", "node", "np", "bits")
+    pairs = met.filter("leader is not null").select("leader", "node")
     final, rounds = False, 0
     while True:
         pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -358,7 +411,7 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
         if final:
             return Classes(items, links, comps)
         # What shares a prefix token across components.
-        labelled = members.join(comps, "node", "left").select("token", "node", "np", F.coalesce("comp", "node").alias("comp"))
+        labelled = members.join(comps, "node", "left").select("token", "node", "np", "bits", F.coalesce("comp", "node").alias("comp"))
         per = labelled.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("comps")).filter("comps > 1")
         mixed = stash(labelled.join(per.select("token"), "token", "left_semi"), "mixed")
         n, cross = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
@@ -366,12 +419,12 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
             return Classes(items, links, comps)
         rounds += 1
         if cross > PAIRS_PER_ROW * n + 100_000 and rounds <= HUB_ROUNDS:
-            hub = mixed.groupBy("token").agg(F.min_by(F.struct("node", "np", "comp"), F.xxhash64("node", F.lit(rounds))).alias("h")).select("token", "h.*")
+            hub = mixed.groupBy("token").agg(F.min_by(F.struct("node", "np", "bits", "comp"), F.xxhash64("node", F.lit(rounds))).alias("h")).select("token", "h.*")
             x, y = mixed.alias("x"), stash(hub, "hubs").alias("y")
-            pairs = x.join(y, "token").filter((F.col("x.comp") != F.col("y.comp")) & could_match(F.col("x.np"), F.col("y.np"), percent)).select("x.node", "y.node")
+            pairs = x.join(y, "token").filter((F.col("x.comp") != F.col("y.comp")) & could_match("x", "y", percent)).select("x.node", "y.node")
         else:
             x, y = mixed.alias("x"), mixed.alias("y")
-            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & could_match(F.col("x.np"), F.col("y.np"), percent)
+            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & could_match("x", "y", percent)
             pairs, final = x.join(y, on).select("x.node", "y.node"), True
 
 
