@@ -10,7 +10,7 @@
    candidate, and follows it. The next set that follows none leads next, until none is left. So not all pairs of a token are formed,
    and only those between followers are open. Verified pairs are links; connected sets need no further comparing with each other.
 4. What is left are pairs of followers with a common prefix token in different components. They all are compared, too: with hubs as
-   long as there are many, then every one of them. So every link either is verified or lies within a class.
+   long as there are many and hubs make them fewer, then every one of them. So every link either is verified or lies within a class.
 
 The bitmap filter: each token flips one of 64 bits of its set. Every bit in which two sets differ is a token in one of them only, so
 sets with more such bits than a similar pair may have of such tokens can't be similar.
@@ -43,10 +43,8 @@ HUB_ROWS, HUB_MEANS = 50_000, 8
 SEEN = 300_000
 #: Ids of texts to fetch up to which they are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
-#: Cross-component pairs that are compared at once, as a multiple of the rows they come from.
-PAIRS_PER_ROW = 8
-#: Rounds with further hubs before all cross-component pairs are compared at any rate.
-HUB_ROUNDS = 6
+#: Cross-component pairs that are filtered at once without trying hubs first, as a multiple of the rows they come from.
+PAIRS_PER_ROW = 64
 
 
 @dataclass
@@ -394,7 +392,7 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
     comps = spark.createDataFrame([], "node long, comp long")
     members = met.filter("member").select("token", "node", "np", "bits")
     pairs = met.filter("leader is not null").select("leader", "node")
-    final, rounds = False, 0
+    final, rounds, before = False, 0, None
     while True:
         pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = stash(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -418,7 +416,9 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
         if not n:
             return Classes(items, links, comps)
         rounds += 1
-        if cross > PAIRS_PER_ROW * n + 100_000 and rounds <= HUB_ROUNDS:
+        # Hubs go on as long as each round of them at least halves what is left.
+        paid, before = before is None or 2 * cross <= before, cross
+        if cross > PAIRS_PER_ROW * n and paid:
             hub = mixed.groupBy("token").agg(F.min_by(F.struct("node", "np", "bits", "comp"), F.xxhash64("node", F.lit(rounds))).alias("h")).select("token", "h.*")
             x, y = mixed.alias("x"), stash(hub, "hubs").alias("y")
             pairs = x.join(y, "token").filter((F.col("x.comp") != F.col("y.comp")) & could_match("x", "y", percent)).select("x.node", "y.node")
