@@ -373,13 +373,54 @@ def sets_of(docs: DataFrame, wanted: DataFrame, extract: Extract) -> DataFrame:
 
 @dataclass
 class Classes:
-    """items: doc, rid, line, n, node of each item. links: verified pairs of nodes (a, b). comps: node, comp of linked nodes."""
+    """items: doc, rid, line, n, node of each item. links: verified pairs of nodes (a, b), which connect the
+    components; pairs within one need not be among them. comps: node, comp of linked nodes."""
 
     items: DataFrame
     links: DataFrame
     comps: DataFrame
 
 
+@dataclass
+class Found:
+    """What is known of the links so far: links (a, b), comps (node, comp) of linked nodes, and tested, the pairs that were verified."""
+
+    docs: DataFrame
+    extract: Extract
+    items: DataFrame
+    percent: int
+    links: DataFrame
+    comps: DataFrame
+    tested: DataFrame | None = None
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Verifies candidates (two columns of nodes) until each is verified or lies within a component.
+
+        First each node picks the least of its partners (signatures, so all sets of a group of copies tend to the same one), twice;
+        then all that are left are verified. So a group takes about a verification a member, not one a pair.
+        """
+        pairs = stash(pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        for step in range(3):
+            of = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+            apart = F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")
+            left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
+            pairs = stash(left if self.tested is None else left.join(self.tested, ["a", "b"], "left_anti"), "pairs-left")
+            if pairs.isEmpty():
+                return
+            self.verify(stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked") if step < 2 else pairs)
+
+    def verify(self, pairs: DataFrame) -> None:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = self.items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
+        wanted = stash(rows.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
+        sets = stash(sets_of(self.docs.select("rid", "text"), wanted, self.extract), "sets")
+        new = stash(verified(pairs, sets, self.percent).distinct(), "links")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        if not new.isEmpty():
+            self.links = self.links.unionByName(new)
+            self.comps = stash(components(self.links), "comps")
+
+
 def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool = True) -> Classes:
     """docs: doc (long), rid (long, equal only for rows with equal text), text."""
     spark = docs.sparkSession
@@ -387,25 +428,13 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
     items = scanned.filter("slice is null").select("doc", "rid", "line", "n", "node")
     order = Order.of(total_counts(scanned.filter("slice is not null").select("slice", "counts")))
     met = stash(meetings(postings(docs, extract, order, percent), percent), "met")
-    links = spark.createDataFrame([], "a long, b long")
-    tested = None
-    comps = spark.createDataFrame([], "node long, comp long")
+    found = Found(docs, extract, items, percent, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long"))
     members = met.filter("member").select("token", "node", "np", "bits")
     pairs = met.filter("leader is not null").select("leader", "node")
     final, rounds, before = False, 0, None
     while True:
-        pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = stash(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            found = items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
-            wanted = stash(found.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
-            sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets")
-            new = stash(verified(pairs, sets, percent).distinct(), "links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                comps = stash(components(links), "comps")
+        found.settle(pairs)
+        links, comps = found.links, found.comps
         if final:
             return Classes(items, links, comps)
         # What shares a prefix token across components.
