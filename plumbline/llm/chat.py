@@ -6,13 +6,15 @@ a tree are ranked by the score of their path; from the chosen leaf the same tabl
 on it become one conversation. Texts take no part in the self-joins.
 
 Defined results: a null text or role is empty; a message whose parent does not exist is a root; messages on a cycle have no root
-and no path, so they are left out; of repeated (tree, message) rows the least by (parent, role, text) counts; ties of
-scores go to the deeper, then the least leaf; empty tables give empty ones; extra columns are ignored.
+and no path, so they are left out; of repeated (tree, message) rows the least by (parent, role, text) counts; a null tree
+is a tree like any other, and messages without an id are left out; ties of scores go to the deeper, then the least leaf; empty
+tables give empty ones; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,33 +55,44 @@ def paths(messages: DataFrame) -> DataFrame:
     m = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = m.select(F.col("tree").alias("t2"), F.col("id").alias("i2"))
     m = m.join(ids, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("i2")), "left")
-    # up: the ancestor 2**k above, if any; depth and sum: over the messages from here to below it.
+    # up: the ancestor 2**k above, if any; depth and sum: over the messages from here to below it. Table k holds the messages that
+    # found no root before, so tables shrink as paths end.
     jumps = [stash(m.select("tree", "id", F.col("i2").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("sum")), "chat-0")]
+    ends = [jumps[0].filter("up is null")]
     # Every round finds the roots of messages up to twice as deep; one that finds none has only cycles left.
-    before, found = -1, jumps[-1].filter("up is null").count()
-    while found != before and not jumps[-1].filter("up is not null").isEmpty():
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        j = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")), "left")
-        j = j.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.sum") + F.coalesce("b.sum", F.lit(0.0))).alias("sum"))
+    found, going = _counts(jumps[0])
+    while found and going:
+        a, b = jumps[-1].filter("up is not null").alias("a"), reduce(DataFrame.unionByName, [*ends[:-1], jumps[-1]]).alias("b")
+        j = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")))
+        j = j.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.sum") + F.col("b.sum")).alias("sum"))
         jumps.append(stash(j, f"chat-{len(jumps)}"))
-        before, found = found, jumps[-1].filter("up is null").count()
+        ends.append(jumps[-1].filter("up is null"))
+        found, going = _counts(jumps[-1])
+    rooted = reduce(DataFrame.unionByName, ends)  # all but messages on or below a cycle
     parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    rooted = jumps[-1].filter("up is null")  # all but messages on or below a cycle
-    leaves = rooted.join(parents, ["tree", "id"], "left_anti")
-    best = _best(leaves)
-    on = best.select("tree", "path_score", F.col("leaf").alias("id"))
-    for j in reversed(jumps[:-1]):
-        up = on.alias("o").join(j.alias("j"), ["tree", "id"]).filter("up is not null").select("tree", "path_score", F.col("up").alias("id"))
-        on = on.unionByName(up)
-    on = on.distinct()
-    return on.join(rooted.select("tree", "id", (F.col("depth") - 1).alias("depth")), ["tree", "id"])
+    best = stash(_best(rooted.join(parents, ["tree", "id"], "left_anti")), "chat-best")
+    # All messages of a tree with one leaf are on its path.
+    whole = rooted.select("tree", "id", "depth").join(best.filter("leaves = 1").select("tree", "path_score"), "tree")
+    marked = [best.filter("leaves > 1").select("tree", F.col("leaf").alias("id"), "depth", "path_score")]
+    if not marked[0].isEmpty():
+        # Of several leaves, the best one marks its ancestors: each table, the longest jumps first, doubles what is marked.
+        for k, j in reversed(list(enumerate(jumps))):
+            steps = j.filter("up is not null").select("tree", "id", "up")
+            up = reduce(DataFrame.unionByName, marked).join(steps, ["tree", "id"])
+            marked.append(stash(up.select("tree", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"), "path_score"), f"chat-path-{k}"))
+    return reduce(DataFrame.unionByName, [whole, *marked]).withColumn("depth", F.col("depth") - 1)
+
+
+def _counts(jumps: DataFrame) -> tuple[int, int]:
+    """How many messages have found their root, and how many have not."""
+    return jumps.agg(F.count(F.when(F.col("up").isNull(), 1)), F.count("up")).first()
 
 
 def _best(leaves: DataFrame) -> DataFrame:
-    """The leaf with the highest mean score; then the deepest, then the least id."""
+    """The leaf with the highest mean score; then the deepest, then the least id: tree, leaf, depth, path_score, leaves (how many there are)."""
     rank = F.struct((-F.col("sum") / F.col("depth")).alias("s"), (-F.col("depth")).alias("d"), F.col("id").alias("id"))
-    best = leaves.groupBy("tree").agg(F.min(rank).alias("r"))
-    return best.select("tree", F.col("r.id").alias("leaf"), (-F.col("r.s")).alias("path_score"))
+    best = leaves.groupBy("tree").agg(F.min(rank).alias("r"), F.count("*").alias("leaves"))
+    return best.select("tree", F.col("r.id").alias("leaf"), (-F.col("r.d")).alias("depth"), (-F.col("r.s")).alias("path_score"), "leaves")
 
 
 def format_trees(messages: DataFrame) -> DataFrame:
@@ -87,12 +100,13 @@ def format_trees(messages: DataFrame) -> DataFrame:
 
     messages: tree, id, parent, score, role, text.
     """
-    one = messages.groupBy("tree", "id").agg(F.min(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")).alias("m")).select("tree", "id", "m.*")
+    own = messages.withColumn("tree", F.struct("tree"))  # so that null trees meet in joins
+    one = own.filter("id is not null").groupBy("tree", "id").agg(F.min(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")).alias("m")).select("tree", "id", "m.*")
     one = stash(one, "chat-messages")
     chosen = paths(one).select("tree", "id", "depth", "path_score")
     turns = chosen.join(one.select("tree", "id", "role", "text"), ["tree", "id"])
     turns = turns.groupBy("tree").agg(F.first("path_score").alias("path_score"), F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
-    return formatted(turns)
+    return formatted(turns.withColumn("tree", F.col("tree.tree")))
 
 
 def formatted(turns: DataFrame) -> DataFrame:

@@ -89,6 +89,37 @@ def test_chat_trees(spark):
     assert [tuple(x) for x in out[0].turns] == [("user", "a"), ("assistant", "</s>[INST] \\ <|end|>"), ("user", "")]
 
 
+def test_chat_paths(spark):
+    """Random forests with cycles, null trees and ids, against walks in Python."""
+    rng = random.Random(3)
+    rows = [(t, i, rng.choice([None, i - 1, i - 1, i - 1, rng.randrange(40)]) if i else None, rng.randrange(10) / 10) for t in (None, 1, 2, 3) for i in range(40)]
+    rows += [(4, i, i - 1 if i else None, 0.5) for i in range(37)]
+    out = chat.paths(spark.createDataFrame(rows, "t long, id long, parent long, score double").select(F.struct("t").alias("tree"), "id", "parent", "score"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.tree.t, []).append((r.depth, r.id))
+    for t in (None, 1, 2, 3, 4):
+        up = {i: (p, s) for x, i, p, s in rows if x == t}
+        found = []
+        for i in set(up) - {p for p, _ in up.values()}:
+            path, at = [], i
+            while at is not None and len(path) <= 40:
+                path.append(at)
+                at = up[at][0]
+            if at is None:
+                found.append((-sum(up[x][1] for x in path) / len(path), -len(path), i, path[::-1]))
+        best = min((round(s, 9), n, i, p) for s, n, i, p in found)
+        assert sorted(got[t]) == list(enumerate(best[3]))
+
+
+def test_chat_odd(spark):
+    kind = "conv_id long, turn long, role string, text string, id int"
+    rows = [(None, 0, "user", "a", 1), (None, None, None, None, 1), (1, 0, "assistant", "", 1), (1, 0, "assistant", "", 1)]
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.report(spark.createDataFrame(rows, kind)).collect()}
+    assert out == {None: (2, 0), 1: (2, 0), -7: (2, 21)}
+    assert [r.conv_id for r in chat.report(spark.createDataFrame([], kind)).collect()] == [-7]
+
+
 def test_lines(spark):
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
