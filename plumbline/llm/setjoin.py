@@ -7,10 +7,12 @@
    set in that order: as many tokens as must hold one of any set that is similar enough.
 3. Rows meet by token. The first set of a token (the one with the least of rare tokens, which in a group of copies is the one that
    the others were made from) is a leader: every other set that passes the length, positional and bitmap filters with it is a
-   candidate, and follows it. The next set that follows none leads next, until none is left. So not all pairs of a token are formed,
-   and only those between followers are open. Verified pairs are links; connected sets need no further comparing with each other.
-4. What is left are pairs of followers with a common prefix token in different components. They all are compared, too: with hubs as
-   long as there are many and hubs make them fewer, then every one of them. So every link either is verified or lies within a class.
+   candidate, and follows it. The next set that follows none leads next, until none is left. So not all pairs of a token are formed.
+   A follower is first compared with the first of its leaders only. Verified pairs are links; connected sets need no further comparing
+   with each other.
+4. What is left are pairs of followers, and of them and later leaders, with a common prefix token in different components. They all
+   are compared, too: with hubs as long as there are many and hubs make them fewer, then every one of them. So every link either is
+   verified or lies within a class.
 
 The bitmap filter: each token flips one of 64 bits of its set. Every bit in which two sets differ is a token in one of them only, so
 sets with more such bits than a similar pair may have of such tokens can't be similar.
@@ -257,7 +259,8 @@ def led(new: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> tu
 
 def meetings(rows: DataFrame, percent: int) -> DataFrame:
     """token, node, np, bits, leader, member. Candidates: rows with a leader. Sets that are still to be compared with each other: rows
-    with member true, once for each token; those are all sets of a token with several parts, of others the followers, if many."""
+    with member true, once for each token; those are all sets of a token with several parts, of others the followers, if many, and
+    their leaders. A set that leads and has no follower was compared with all others."""
 
     def found(token: np.ndarray, sc: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         part = sc >> 16
@@ -267,9 +270,15 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
         leader, row = led(new, size, bits, percent)
         at, first = np.unique(row, return_index=True)
         group = np.cumsum(new) - 1
-        member = np.zeros(len(row), bool)
-        member[first] = (np.bincount(group[at], minlength=group[-1] + 1)[group[at]] > 1) | (part[at] > 0)
-        rest = np.setdiff1d(np.flatnonzero(part > 0), at)
+        # A lone follower is compared with all its leaders, of others each with the first one only.
+        several = np.bincount(group[at], minlength=group[-1] + 1) > 1
+        once = np.zeros(len(row), bool)
+        once[first] = True
+        keep = once | ~several[group[row]]
+        leads = np.unique(leader[several[group[leader]]])
+        leader, row = leader[keep], row[keep]
+        member = once[keep] & (several[group[row]] | (part[row] > 0))
+        rest = np.setdiff1d(np.union1d(np.flatnonzero(part > 0), leads), row[member])
         row, member = np.append(row, rest), np.append(member, np.ones(len(rest), bool))
         leader = pa.array(np.append(node[leader], np.zeros(len(rest), np.int64)), mask=np.arange(len(row)) >= len(leader))
         return _batch({"token": token[row], "node": node[row], "np": size[row], "bits": bits[row], "leader": leader, "member": member})
@@ -393,21 +402,23 @@ class Found:
     comps: DataFrame
     tested: DataFrame | None = None
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Verifies candidates (two columns of nodes) until each is verified or lies within a component.
+    def settle(self, pairs: DataFrame, picks: int) -> None:
+        """Verifies candidates (two columns of nodes, of different components) until each is verified or lies within a component.
 
-        First each node picks the least of its partners (signatures, so all sets of a group of copies tend to the same one), twice;
-        then all that are left are verified. So a group takes about a verification a member, not one a pair.
+        First each node picks the least of its partners (signatures, so all sets of a group of copies tend to the same one), so many
+        times; then all that are left are verified. So a group takes about a verification a member, not one a pair.
         """
         pairs = stash(pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        for step in range(3):
-            of = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-            apart = F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")
-            left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
+        for step in range(picks + 1):
+            left = pairs
+            if step:
+                of = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+                apart = F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")
+                left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
             pairs = stash(left if self.tested is None else left.join(self.tested, ["a", "b"], "left_anti"), "pairs-left")
             if pairs.isEmpty():
                 return
-            self.verify(stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked") if step < 2 else pairs)
+            self.verify(stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked") if step < picks else pairs)
 
     def verify(self, pairs: DataFrame) -> None:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -433,7 +444,8 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
     pairs = met.filter("leader is not null").select("leader", "node")
     final, rounds, before = False, 0, None
     while True:
-        found.settle(pairs)
+        # At the end few of the candidates are links, so a second pick would hardly save any.
+        found.settle(pairs, 1 if final else 2)
         links, comps = found.links, found.comps
         if final:
             return Classes(items, links, comps)
