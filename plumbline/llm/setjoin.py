@@ -312,6 +312,11 @@ def may_match(a: np.ndarray, a_bits: np.ndarray, b: np.ndarray, b_bits: np.ndarr
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (rest * (100 + percent) >= percent * both) & (np.bitwise_count((a_bits ^ b_bits).view(U)) <= most)
 
 
+def differing(a: str, b: str) -> Column:
+    """Bits in which the rows with these aliases differ."""
+    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+
+
 def could_match(a: str, b: str, percent: int) -> Column:
     """The same as may_match, of the rows with these aliases."""
     x, y = F.col(f"{a}.np"), F.col(f"{b}.np")
@@ -321,8 +326,7 @@ def could_match(a: str, b: str, percent: int) -> Column:
     length = (100 * F.least(na, nb)) >= percent * F.greatest(na, nb)
     place = F.least(na - px, nb - py) * (100 + percent) >= percent * both
     # Bits count tokens in one set only: both - 2 * overlap, where overlap * (100 + percent) >= percent * both.
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return length & place & ((both - differ) * (100 + percent) >= 2 * percent * both)
+    return length & place & ((both - differing(a, b)) * (100 + percent) >= 2 * percent * both)
 
 
 def differ_at_least(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -390,6 +394,13 @@ class Classes:
     comps: DataFrame
 
 
+def picked(pairs: DataFrame) -> DataFrame:
+    """a, b: of each node, its pair with the least d."""
+    both = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    least = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    return least.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+
+
 @dataclass
 class Found:
     """What is known of the links so far: links (a, b), comps (node, comp) of linked nodes, and tested, the pairs that were verified."""
@@ -403,22 +414,24 @@ class Found:
     tested: DataFrame | None = None
 
     def settle(self, pairs: DataFrame, picks: int) -> None:
-        """Verifies candidates (two columns of nodes, of different components) until each is verified or lies within a component.
+        """Verifies candidates (two nodes, of different components, and in how many bits they differ) until each is verified or lies
+        within a component.
 
-        First each node picks the least of its partners (signatures, so all sets of a group of copies tend to the same one), so many
-        times; then all that are left are verified. So a group takes about a verification a member, not one a pair.
+        First each node picks the partner that differs least from it (then the least one, so all sets of a group of copies tend to the
+        same one), so many times; then all that are left are verified. So a group takes about a verification a member, not one a pair.
         """
-        pairs = stash(pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        pairs = pairs.toDF("x", "y", "d").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("d").alias("d"))
+        pairs = stash(pairs, "pairs")
         for step in range(picks + 1):
             left = pairs
             if step:
                 of = lambda x: self.comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
                 apart = F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")
-                left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
+                left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b", "d")
             pairs = stash(left if self.tested is None else left.join(self.tested, ["a", "b"], "left_anti"), "pairs-left")
             if pairs.isEmpty():
                 return
-            self.verify(stash(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked") if step < picks else pairs)
+            self.verify(stash(picked(pairs), "picked") if step < picks else pairs.select("a", "b"))
 
     def verify(self, pairs: DataFrame) -> None:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -441,7 +454,7 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
     met = stash(meetings(postings(docs, extract, order, percent), percent), "met")
     found = Found(docs, extract, items, percent, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long"))
     members = met.filter("member").select("token", "node", "np", "bits")
-    pairs = met.filter("leader is not null").select("leader", "node")
+    pairs = met.filter("leader is not null").select("leader", "node", F.lit(0))
     final, rounds, before = False, 0, None
     while True:
         # At the end few of the candidates are links, so a second pick would hardly save any.
@@ -462,11 +475,11 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
         if cross > PAIRS_PER_ROW * n and paid:
             hub = mixed.groupBy("token").agg(F.min_by(F.struct("node", "np", "bits", "comp"), F.xxhash64("node", F.lit(rounds))).alias("h")).select("token", "h.*")
             x, y = mixed.alias("x"), stash(hub, "hubs").alias("y")
-            pairs = x.join(y, "token").filter((F.col("x.comp") != F.col("y.comp")) & could_match("x", "y", percent)).select("x.node", "y.node")
+            pairs = x.join(y, "token").filter((F.col("x.comp") != F.col("y.comp")) & could_match("x", "y", percent)).select("x.node", "y.node", differing("x", "y"))
         else:
             x, y = mixed.alias("x"), mixed.alias("y")
             on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & could_match("x", "y", percent)
-            pairs, final = x.join(y, on).select("x.node", "y.node"), True
+            pairs, final = x.join(y, on).select("x.node", "y.node", differing("x", "y")), True
 
 
 def with_identity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
