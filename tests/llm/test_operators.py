@@ -172,6 +172,16 @@ def test_substrings(spark):
     assert (found[1, 0].start, found[1, 0].end, found[1, 0].amiss_words) == (30, 99, 2)
 
 
+def test_substrings_two_passages(spark):
+    """After a long common passage and a stretch of other words, the passages that follow are still found."""
+    rng = random.Random(4)
+    prose = lambda n: [f"{rng.choice('abcdefghij')}{rng.randrange(10**6)}" for _ in range(n)]
+    long, short = prose(500), prose(80)
+    docs = [long + prose(100) + short, long + prose(90) + short]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    assert sorted((r.start, r.end, r.source_start) for r in substring.report(df).collect()) == [(0, 500, 0), (590, 670, 600)]
+
+
 def test_suffix_filter():
     import numpy as np
 
