@@ -182,6 +182,20 @@ def test_substrings_two_passages(spark):
     assert sorted((r.start, r.end, r.source_start) for r in substring.report(df).collect()) == [(0, 500, 0), (590, 670, 600)]
 
 
+def test_substrings_recall(spark):
+    """Passages with words changed at random up to the threshold of one in five, in random texts, are all found."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('abcdefghij')}{rng.randrange(10**6)}"
+    docs = []
+    for k in range(60):
+        passage = [word() for _ in range((60, 100, 200)[k % 3])]
+        every = set(range(4, len(passage), 8)) if k % 2 else set(rng.sample(range(len(passage)), len(passage) // 10))
+        docs += [[word() for _ in range(30)] + x + [word() for _ in range(30)] for x in (passage, [word() if i in every else x for i, x in enumerate(passage)])]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    found = {(r.doc_id, r.source_doc_id) for r in substring.report(df).collect()}
+    assert found == {(2 * k + 1, 2 * k) for k in range(60)}
+
+
 def test_suffix_filter():
     import numpy as np
 
