@@ -196,6 +196,17 @@ def test_substrings_recall(spark):
     assert found == {(2 * k + 1, 2 * k) for k in range(60)}
 
 
+def test_substrings_pieces(spark):
+    """A passage whose pieces stand in earlier texts, too short each, and copies of a text reworded too much are found."""
+    rng = random.Random(6)
+    prose = lambda n: [f"{rng.choice('abcdefghij')}{rng.randrange(10**6)}" for _ in range(n)]
+    whole, base = prose(120), prose(100)
+    reworded = [prose(1)[0] if i % 6 in (0, 1) else x for i, x in enumerate(base)]
+    docs = [prose(40) + x + prose(40) for x in (whole[:47], whole[37:84], whole[74:], whole, whole, base, reworded, reworded)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in substring.report(df).collect()} == {(4, 40, 160, 3), (7, 40, 140, 6)}
+
+
 def test_suffix_filter():
     import numpy as np
 
