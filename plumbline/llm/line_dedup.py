@@ -1,8 +1,8 @@
 r"""Line dedup: lines whose sets of words reach a Jaccard similarity of 0.8 are classes (see setjoin); of each class the first line
 stays, by (doc_id, line), and later ones go.
 
-Lines are split at \n; words are ``[^\x20\x09-\x0D]+``, A-Z as a-z. Lines with fewer than five distinct words say too little to
-be copies and always stay. Two lines are of one class when a chain of similar lines connects them.
+Lines are split at \n; words are ``[^\x20\x09-\x0D]+``, A-Z as a-z. Lines without a word always stay;
+all others take part, however short. Two lines are of one class when a chain of similar lines connects them.
 
 Defined results: a null text has no lines; null ids come first; repeated rows (equal id and text) are told nothing apart and keep
 the same lines; a document without a word left, of which lines were removed, goes; extra columns are kept as they are.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import setjoin
 from plumbline.llm.scratch import stash
 
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 
 
 def removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, percent: int = 80) -> DataFrame:

@@ -142,6 +142,13 @@ def test_lines(spark):
     assert {r.doc_id: r.removed_lines for r in line_dedup.report(docs).collect()} == want
 
 
+def test_short_lines(spark):
+    """Lines of one word or few, and of no word."""
+    rows = [(1, "Read more\n\n漢字かな交じりの文"), (2, "\nread  MORE\nRead less"), (3, "漢字かな交じりの文\nbuy now buy now buy now\n \t\nnow buy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed_lines for r in line_dedup.report(docs).collect()} == {1: "", 2: "1", 3: "0,3"}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
