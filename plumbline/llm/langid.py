@@ -2,11 +2,11 @@
 
 Each language is a distribution over byte trigrams of lower-cased text (anything but letters counts as a space), learned from
 labelled documents. A document is a mixture: expectation-maximisation finds the proportions of languages that make its trigrams
-most likely. Then sets of one, two and three languages (those with the largest proportions) are fitted again, and the one with
-the best likelihood, less a penalty for each language more, is taken; the answer is its largest language.
+most likely. Then sets of one, two, three ... languages (those with the largest proportions) are fitted again, as long as some text of a
+piece gets a better likelihood, less a penalty for each language more; the best set is taken, and the answer is its largest language.
 
-All labelled documents of the training folds are counted; a task holds at most FLUSH languages' counters, and the model has
-at most MOST_LANGUAGES (the most frequent), which bounds what is broadcast: 256 KB a language.
+All labelled documents of the training folds are counted, and every language is kept. A task holds at most FLUSH languages' counters;
+what is broadcast is 256 KB a language. Texts are fitted in groups that bound a task's memory, however many languages there are.
 
 Defined results: texts that are null or have no letter are "und" with score 0; without any labelled document all are "und"; null
 ids count as empty in the choice of folds; repeated rows get equal rows each; extra columns are ignored.
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.words import LOWER, U, mix, pieces
 
 BITS = 16
-FLUSH, MOST_LANGUAGES = 16, 256
-STEPS, MOST_IN_TEXT = 12, 3
+FLUSH = 16
+STEPS = 12
+#: Trigrams times languages that are fitted at once (at least those of one text).
+FITTED = 1 << 22
 #: Cost of a further language, in half logs of the number of trigrams; overlapping trigrams are worth less than their number.
 PENALTY = 6.0
 
@@ -75,7 +77,14 @@ class Model:
         """(language, its proportion, the whole mixture) of each text."""
         for lo, hi, buf, offsets in pieces(texts):
             text, gram, count = grams(buf, offsets)
-            share = self.mixture(text, gram, count, hi - lo) if self.languages else np.zeros((hi - lo, 0))
+            share = np.zeros((hi - lo, len(self.languages)))
+            first = np.searchsorted(text, np.arange(hi - lo + 1))
+            a = 0
+            while self.languages and a < hi - lo:
+                b = max(a + 1, int(np.searchsorted(first, first[a] + FITTED // len(self.languages), "right")) - 1)
+                own = slice(first[a], first[b])
+                share[a:b] = self.mixture(text[own] - a, gram[own], count[own], b - a)
+                a = b
             ascii_letter = np.zeros(len(buf) + 1, np.int64)
             np.cumsum((_CLASS[buf] != 0x20) & (buf < 0x80), out=ascii_letter[1:])
             has = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
@@ -109,19 +118,24 @@ class Model:
         full, _ = fit(np.full((len(present), len(self.languages)), 1 / len(self.languages), np.float32), STEPS)
         order = np.argsort(-full, axis=1, kind="stable")
         best, best_value = full, np.full(len(present), -np.inf)
-        for k in range(1, min(MOST_IN_TEXT, len(self.languages)) + 1):
+        going = np.ones(len(present), bool)
+        for k in range(1, len(self.languages) + 1):
             some = np.full_like(full, 0)
             np.put_along_axis(some, order[:, :k], np.maximum(np.take_along_axis(full, order[:, :k], 1), 1e-3), 1)
             share, likelihood = fit(some / some.sum(1, keepdims=True), STEPS // 2 if k > 1 else 0)
             value = likelihood - PENALTY * (k - 1) * np.log(total + 1) / 2
-            better = value > best_value
+            # A text whose set of three or more is no better than the one before takes no further language.
+            better = going & (value > best_value)
             best, best_value = np.where(better[:, None], share, best), np.where(better, value, best_value)
+            going = better if k >= 3 else going
+            if not going.any():
+                break
         out = np.zeros((n, len(self.languages)))
         out[present] = best
         return out
 
 
-def learn(labelled: DataFrame, *, most: int = MOST_LANGUAGES, alpha: float = 0.5) -> Model:
+def learn(labelled: DataFrame, *, alpha: float = 0.5) -> Model:
     """labelled: text, lang (not null). Counts of all its rows, summed by language; one row of 2**BITS counters a language comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +172,15 @@ def learn(labelled: DataFrame, *, most: int = MOST_LANGUAGES, alpha: float = 0.5
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.sum()]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["lang", "n", "counts"])
 
     parts = labelled.select("text", "lang").mapInArrow(count, "lang string, counts binary").repartition("lang").sortWithinPartitions("lang")
-    rows = parts.mapInArrow(add, "lang string, n double, counts binary").orderBy(F.desc("n"), "lang").limit(most).collect()
-    rows.sort(key=lambda r: r[0])
-    if not rows:
+    rows = parts.mapInArrow(add, "lang string, n double, counts binary").toLocalIterator()
+    found = sorted(((r[0], np.frombuffer(r[2], np.float32)) for r in rows), key=lambda x: x[0])
+    if not found:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
-    counts = np.stack([np.frombuffer(r[2], np.float32).astype(float) for r in rows], 1)
-    table = np.log((counts + alpha) / (counts + alpha).sum(0))
-    return Model([r[0] for r in rows], np.ascontiguousarray(table.astype(np.float32)))
+    table = np.empty((1 << BITS, len(found)), np.float32)
+    for k, (_, counts) in enumerate(found):
+        counts = counts.astype(float) + alpha
+        table[:, k] = np.log(counts / counts.sum())
+    return Model([x for x, _ in found], table)
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -82,6 +82,20 @@ def test_language(spark):
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.9
 
 
+def test_many_languages(spark):
+    """More labels than 256 are all learned, and a text of four languages has all four in its mixture."""
+    rng = random.Random(7)
+    own = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)] for _ in range(260)]
+    say = lambda k, n: " ".join("".join(rng.choice(own[k]) for _ in range(5)) for _ in range(n))
+    rows = [(say(k, 40), f"l{k:03}") for k in range(260)]
+    assert langid.learn(spark.createDataFrame(rows, "text string, lang string")).languages == [f"l{k:03}" for k in range(260)]
+    four = ["abcdef", "ghijkl", "mnopqr", "stuvwx"]
+    say = lambda k, n: " ".join("".join(rng.choice(four[k]) for _ in range(5)) for _ in range(n))
+    model = langid.learn(spark.createDataFrame([(say(k, 2000), str(k)) for k in range(4)], "text string, lang string"))
+    mixed = spark.createDataFrame([(" ".join(say(k, 300) for k in range(4)),)], "text string")
+    assert {x.lang for x in langid.predict(mixed, model).first().mixture} == {"0", "1", "2", "3"}
+
+
 def test_chat_trees(spark):
     rows = [("t", 1, None, 0.0, "user", "a"), ("t", 2, 1, 0.1, "assistant", "bad"), ("t", 3, 1, 0.9, "assistant", "</s>[INST] \\ <|end|>"), ("t", 4, 3, 0.8, "user", None), ("c", 1, 2, 0.0, "x", "cycle"), ("c", 2, 1, 0.0, "x", "cycle")]
     out = chat.read_back(chat.format_trees(spark.createDataFrame(rows, "tree string, id long, parent long, score double, role string, text string"))).collect()
