@@ -204,7 +204,7 @@ def test_substrings_two_passages(spark):
 
 
 def test_substrings_recall(spark):
-    """Passages with words changed at random up to the threshold of one in five, in random texts, are all found."""
+    """Passages with every eighth word, or a tenth of the words at random, changed are all found."""
     rng = random.Random(12)
     word = lambda: f"{rng.choice('abcdefghij')}{rng.randrange(10**6)}"
     docs = []
