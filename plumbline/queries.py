@@ -66,14 +66,18 @@ def prehash_join_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(canonical.prehash(object_events(spark, sf_dir)), "event_id", join="\n")
 
 
-_SSCC = F.concat(F.lit("urn:epc:id:sscc:4012345."), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"))
-_GTIN = F.concat(F.lit("urn:epc:id:sgtin:4012345."), F.lpad((F.col("l_partkey") % 1000000).cast("string"), 6, "0"), F.lit("."), F.col("l_linenumber").cast("string"))
+def _sscc() -> Column:
+    return F.concat(F.lit("urn:epc:id:sscc:4012345."), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"))
+
+
+def _gtin() -> Column:
+    return F.concat(F.lit("urn:epc:id:sgtin:4012345."), F.lpad((F.col("l_partkey") % 1000000).cast("string"), 6, "0"), F.lit("."), F.col("l_linenumber").cast("string"))
 
 
 def prehash_aggregation_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event an order: its lines are the children, sorted by their URNs."""
-    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(_GTIN).alias("children"))
-    json = F.to_json(F.struct(F.lit("AggregationEvent").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("eventTime"), _SSCC.alias("parentID"), F.col("children").alias("childEPCs"), F.lit("ADD").alias("action")))
+    orders = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(_gtin()).alias("children"))
+    json = F.to_json(F.struct(F.lit("AggregationEvent").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("eventTime"), _sscc().alias("parentID"), F.col("children").alias("childEPCs"), F.lit("ADD").alias("action")))
     return _joined(canonical.prehash(orders.select(*_event(json, "l_orderkey"))), "l_orderkey")
 
 
