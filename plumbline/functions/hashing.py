@@ -37,6 +37,15 @@ def digest(text: Column, name: str) -> Column:
     return F.sha1(text) if name == "sha-1" else F.md5(text)
 
 
+def digest_sql(text: str, name: str) -> str:
+    """digest as SQL; text: a name that is not null."""
+    if name in _SHA2:
+        return f"sha2({text}, {_SHA2[name]})"
+    if name in _CODEC:
+        return f"reflect('org.apache.commons.codec.digest.DigestUtils', '{_CODEC[name]}', coalesce({text}, ''))"
+    return f"{name.replace('-', '')}({text})"
+
+
 def hash_id(prehash: Column, name: str = "sha-256", version: str = "2.0", strict: bool = False) -> Column:
     known = algorithm(name, strict)
     return F.concat(F.lit(f"ni:///{known};"), digest(hash_input(prehash), known), F.lit(f"?ver=CBV{version}"))

@@ -31,7 +31,7 @@ def digital_link(urn: str) -> str:
     if m[2] == "itip":
         if len(parts) < 4:
             return urn
-        key = item[0] + company + item[1:]
+        key = item[:1] + company + item[1:]
         tail = f"/21/{parts[4]}" if len(parts) > 4 and parts[4] != "*" else ""
         return f"{DL}/8006/{key}{check_digit(key)}{parts[2]}{parts[3]}{tail}"
     ai, kind, lead, follows, qualifier = SCHEMES[m[2]]
@@ -71,19 +71,22 @@ def _by_scheme(scheme: Column, values: dict[str, str]) -> Column:
 
 
 def digital_link_column(urn: Column) -> Column:
-    """digital_link for all schemes of SCHEMES, without a UDF: one formula, with what differs by scheme looked up."""
+    """digital_link without a UDF: one formula for all of SCHEMES, with what differs by scheme looked up, and one for itip."""
     parts = F.split(urn, "[:.]", 7)  # urn, epc, id, scheme, company, item, serial
     scheme, company, item = F.get(parts, F.lit(3)), F.get(parts, F.lit(4)), F.coalesce(F.get(parts, F.lit(5)), F.lit(""))
     serial = F.coalesce(F.nullif(F.get(parts, F.lit(6)), F.lit("*")), F.lit(""))
     of = lambda *kinds: [x for x, v in SCHEMES.items() if v[1] in kinds]
-    key = F.when(scheme.isin(of("indicator")), F.concat(F.substring(item, 1, 1), company, F.substr(item, F.lit(2)))).otherwise(F.concat(company, item))
+    key = F.when(scheme.isin(of("indicator") + ["itip"]), F.concat(F.substring(item, 1, 1), company, F.substr(item, F.lit(2)))).otherwise(F.concat(company, item))
     check = F.when(scheme.isin(of("join")), "").otherwise(check_digit_column(key))
     lead = F.concat(F.lit(f"{DL}/"), _by_scheme(scheme, {x: f"{v[0]}/{v[2]}" for x, v in SCHEMES.items()}))
     qualifier = F.coalesce(_by_scheme(scheme, {x: f"/{v[4]}/" for x, v in SCHEMES.items() if v[4]}), F.lit(""))
     follows = [x for x, v in SCHEMES.items() if v[3]]
     tail = F.when(scheme.isin(follows), serial).when((qualifier == "") | (serial == "") | ((scheme == "sgln") & (serial == "0")), "").otherwise(F.concat(qualifier, serial))
-    fine = urn.rlike(r"^urn:epc:(id|class|idpat):[a-z]+:[0-9]") & scheme.isin(list(SCHEMES)) & company.rlike(r"^[0-9]+\z") & (scheme.isin("giai", "cpi") | item.rlike(r"^[0-9]+\z"))
-    return F.when(fine, F.concat(lead, key, check, tail)).otherwise(urn)
+    fine = urn.rlike(r"^urn:epc:(id|class|idpat):[a-z]+:[0-9]") & scheme.isin([*SCHEMES, "itip"]) & company.rlike(r"^[0-9]+\z") & (scheme.isin("giai", "cpi") | item.rlike(r"^[0-9]+\z"))
+    piece = F.split(F.get(parts, F.lit(6)), "[.]", 3)  # piece, total, serial
+    count, total, last = (F.get(piece, F.lit(k)) for k in range(3))
+    itip = F.when(total.isNotNull(), F.concat(F.lit(f"{DL}/8006/"), key, check, count, total, F.when(last != "*", F.concat(F.lit("/21/"), last)).otherwise(""))).otherwise(urn)
+    return F.when(fine & (scheme == "itip"), itip).when(fine, F.concat(lead, key, check, tail)).otherwise(urn)
 
 
 def vocabulary_column(urn: Column) -> Column:

@@ -52,5 +52,10 @@ def instant(text: str) -> str:
 
 
 def instant_column(text: Column) -> Column:
-    """Null where the text is no time. Session time zone must be UTC."""
-    return F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """instant; null where the text is no time with an offset. Written from microseconds since 1970, so the session's time zone is of no effect."""
+    day = 86_400_000_000
+    at = F.unix_micros(F.try_to_timestamp(F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)\z"), text)))
+    two = lambda unit, n: F.lpad(F.floor(F.pmod(at, F.lit(day)) / unit % n).cast("string"), 2, "0")
+    ms = F.lpad((F.floor(F.pmod(at, F.lit(1_000_000)) / 1000)).cast("string"), 3, "0")
+    date = F.date_from_unix_date(F.floor(at / day).cast("int")).cast("string")
+    return F.concat(date, F.lit("T"), two(3_600_000_000, 24), F.lit(":"), two(60_000_000, 60), F.lit(":"), two(1_000_000, 60), F.lit("."), ms, F.lit("Z"))

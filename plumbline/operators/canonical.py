@@ -1,14 +1,17 @@
 """Pre-hashes of a DataFrame of events.
 
 Events made of plain standard fields are written by Column expressions, generated from the template. All others (extensions, ilmd,
-sensor data, unexpected shapes at any level) go through the tree, in an Arrow UDF. The two sorts are told apart by a filter and
-united again; the routing looks at every key at every level, as a typed struct would silently drop what it doesn't know.
+sensor data, unexpected shapes at any level) go through the tree, in an Arrow UDF, to which plain events are nulls. The routing looks
+at every key at every level, as a typed struct would silently drop what it doesn't know.
+
+Each event is read once and parsed twice: as a map of raw fields, and as a struct of the fields that hold lists and objects. What many
+expressions use is made by a generator of one row, through which the optimizer pushes no filter and merges no projection, so that it
+is not computed anew for each mention.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,112 +47,139 @@ def known(holder: Column, name: Column, value: Column) -> Column:
 
 
 def _raw(name: str) -> Column:
-    return F.element_at(F.col("__m"), F.lit(name))
+    return F.element_at(F.col("__e.m"), F.lit(name))
+
+
+def _held(name: str) -> Column:
+    """The parsed value of a list or place; null if it has another shape."""
+    return F.col(f"__e.p.{name}")
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with value as a column that is computed once, however often it is mentioned."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Shapes of the fields that hold others.
+_SHAPES = {**{x: "array<string>" for x in EPC_LISTS}, **{x: "array<map<string,string>>" for x in [*QUANTITY_LISTS, *_PAIRS]}, **{x: "map<string,string>" for x in _PLACES}}
+
+
+def parsed(events: DataFrame) -> DataFrame:
+    """events with __e: m, the fields as raw JSON, and p, those of _SHAPES."""
+    shapes = ", ".join(f"{name}: {shape}" for name, shape in _SHAPES.items())
+    return once(events, F.struct(F.from_json("event_json", "map<string,string>").alias("m"), F.from_json("event_json", f"struct<{shapes}>").alias("p")), "__e")
 
 
 def is_plain(options: Options) -> Column:
-    """Whether the expressions below write this event as the tree would. __m: its fields as raw JSON."""
+    """Whether the expressions below write this event as the tree would. It is parsed."""
     handled = [*_SCALARS, *EPC_LISTS, *QUANTITY_LISTS, *_PLACES, *_PAIRS]
-    ok = F.col("__m").isNotNull() & (F.size(F.array_except(F.map_keys("__m"), F.array(*map(F.lit, [*handled, *options.excluded()])))) == 0)
-    ok &= ~F.map_contains_key("__m", "@context") & _raw("type").isin(EVENT_TYPES) & ~F.map_contains_key("__m", "ilmd")
+    ok = F.col("__e.m").isNotNull() & (F.size(F.array_except(F.map_keys("__e.m"), F.array(*map(F.lit, [*handled, *options.excluded()])))) == 0)
+    ok &= ~F.map_contains_key("__e.m", "@context") & _raw("type").isin(EVENT_TYPES) & ~F.map_contains_key("__e.m", "ilmd")
     ok &= instant_column(_raw("eventTime")).isNotNull() & _raw("eventTime").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)\z")
     # The text of a scalar is read from the map, so a nested value would begin with a bracket; nulls and links take the tree.
     simple = lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]") & ~v.contains("://")
     for name in _SCALARS:
-        ok &= ~F.map_contains_key("__m", F.lit(name)) | simple(_raw(name))
+        ok &= ~F.map_contains_key("__e.m", F.lit(name)) | simple(_raw(name))
     for name in EPC_LISTS:
-        ok &= ~F.map_contains_key("__m", F.lit(name)) | F.coalesce(F.forall(_strings(name), lambda x: simple(x) & x.rlike("^urn:epc:id:(sgtin|sscc|sgln|grai|giai|gdti|gsrn|cpi|pgln):")), F.lit(False))
+        ok &= ~F.map_contains_key("__e.m", F.lit(name)) | F.coalesce(F.forall(_strings(name), lambda x: simple(x) & x.rlike("^urn:epc:id:(sgtin|sscc|sgln|grai|giai|gdti|gsrn|cpi|pgln):")), F.lit(False))
     for name in [*QUANTITY_LISTS, *_PAIRS]:
         names = F.array(*map(F.lit, TEMPLATE[name]))
-        ok &= ~F.map_contains_key("__m", F.lit(name)) | F.coalesce(F.forall(_objects(name), lambda x: (F.size(F.array_except(F.map_keys(x), names)) == 0) & F.forall(F.map_values(x), simple) & F.forall(F.map_entries(x), lambda e: ~e["key"].isin("source", "destination", "bizTransaction", "uom") | ~e["value"].rlike(r"^\s*\z"))), F.lit(False))
+        ok &= ~F.map_contains_key("__e.m", F.lit(name)) | F.coalesce(F.forall(_objects(name), lambda x: (F.size(F.array_except(F.map_keys(x), names)) == 0) & F.forall(F.map_values(x), simple) & F.forall(F.map_entries(x), lambda e: ~e["key"].isin("source", "destination", "bizTransaction", "uom") | ~e["value"].rlike(r"^\s*\z"))), F.lit(False))
     for name in _PLACES:
-        m = F.from_json(_raw(name), "map<string,string>")
-        ok &= ~F.map_contains_key("__m", F.lit(name)) | F.coalesce((F.size(F.array_except(F.map_keys(m), F.array(F.lit("id")))) == 0) & F.forall(F.map_values(m), simple) & _raw(name).rlike(r"^\s*\{"), F.lit(False))
+        m = _held(name)
+        ok &= ~F.map_contains_key("__e.m", F.lit(name)) | F.coalesce((F.size(F.array_except(F.map_keys(m), F.array(F.lit("id")))) == 0) & F.forall(F.map_values(m), simple) & _raw(name).rlike(r"^\s*\{"), F.lit(False))
     return F.coalesce(ok, F.lit(False))
 
 
 def _strings(name: str) -> Column:
     """The strings of an array; null unless it is one of strings only."""
-    raw = _raw(name)
-    return F.when(raw.rlike(r'^\s*\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]\s*\z'), F.from_json(raw, "array<string>"))
+    return F.when(_raw(name).rlike(r'^\s*\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]\s*\z'), _held(name))
 
 
 def _objects(name: str) -> Column:
-    return F.when(_raw(name).rlike(r"^\s*\["), F.from_json(_raw(name), "array<map<string,string>>"))
+    return F.when(_raw(name).rlike(r"^\s*\["), _held(name))
 
 
 def _named(names: list[str]) -> Column:
     return F.array(*map(F.lit, names))
 
 
-def with_lines(df: DataFrame, options: Options) -> DataFrame:
-    """Adds __lines, all lines of plain events in the template's order.
+def lines(options: Options) -> Column:
+    """All lines of a parsed plain event in the template's order.
 
     Leaves, lists of EPCs and lists of objects each are one array that one lambda goes over, so that the plan stays small.
     """
     excluded = options.excluded()
-    leaves = [("", x, _raw(x)) for x in _SCALARS] + [(x, "id", F.element_at(F.from_json(_raw(x), "map<string,string>"), F.lit("id"))) for x in _PLACES]
+    leaves = [("", x, _raw(x)) for x in _SCALARS] + [(x, "id", F.element_at(_held(x), F.lit("id"))) for x in _PLACES]
     leaf = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(n).alias("n"), v.alias("v")) for h, n, v in leaves])
-    epcs = F.array(*[F.array_sort(_strings(x)) for x in EPC_LISTS])
-    objects = F.array(*[F.struct(F.lit(x).alias("h"), _named([f for f in TEMPLATE[x] if f not in excluded]).alias("f"), F.lit(x in QUANTITY_LISTS).alias("q"), _objects(x).alias("o")) for x in [*QUANTITY_LISTS, *_PAIRS]])
+    epcs = F.array(*[F.array_sort(_held(x)) for x in EPC_LISTS])
+    objects = F.array(*[F.struct(F.lit(x).alias("h"), _named([f for f in TEMPLATE[x] if f not in excluded]).alias("f"), F.lit(x in QUANTITY_LISTS).alias("q"), _held(x).alias("o")) for x in [*QUANTITY_LISTS, *_PAIRS]])
 
     def element(x: Column, m: Column) -> Column:
-        lines = F.array_compact(F.transform(x["f"], lambda f: known(x["h"], f, F.element_at(m, f))))
-        return F.struct(F.array_join(lines, "").alias("k"), F.when(x["q"], F.concat(_named(["quantityElement"]), lines)).otherwise(lines).alias("v"))
-
-    df = df.withColumns({
-        "__leaf": F.transform(leaf, lambda x: known(x["h"], x["n"], x["v"])),
-        "__epcs": F.transform(epcs, lambda e: F.transform(e, lambda x: F.concat(F.lit("epc="), digital_link_column(x)))),
-        "__objects": F.transform(objects, lambda x: F.flatten(F.transform(F.array_sort(F.transform(x["o"], lambda m: element(x, m))), lambda y: y["v"]))),
-    })
-    none = F.expr("cast(array() as array<string>)")
-    parts = []
-    for name in TOP:
-        if name in excluded or name not in [*_SCALARS, *_PLACES, *EPC_LISTS, *QUANTITY_LISTS, *_PAIRS]:
-            continue
-        if name in _SCALARS:
-            parts.append(F.array(F.get("__leaf", F.lit(_SCALARS.index(name)))))
-        elif name in _PLACES:
-            line = F.get("__leaf", F.lit(len(_SCALARS) + _PLACES.index(name)))
-            parts.append(F.array(F.when(line.isNotNull(), F.lit(name)), line))
-        else:
-            body = F.get("__epcs", F.lit(EPC_LISTS.index(name))) if name in EPC_LISTS else F.get("__objects", F.lit([*QUANTITY_LISTS, *_PAIRS].index(name)))
-            parts.append(F.coalesce(F.when(F.size(body) > 0, F.concat(_named([name]), body)), none))
-    return df.withColumn("__lines", F.array_compact(F.concat(*parts))).drop("__leaf", "__epcs", "__objects")
+        own = F.array_compact(F.transform(x["f"], lambda f: known(x["h"], f, F.element_at(m, f))))
+        return F.struct(F.array_join(own, "").alias("k"), F.when(x["q"], F.concat(_named(["quantityElement"]), own)).otherwise(own).alias("v"))
+
+    leaf_lines = F.transform(leaf, lambda x: known(x["h"], x["n"], x["v"]))
+    epc_lines = F.transform(epcs, lambda e: F.transform(e, lambda x: F.concat(F.lit("epc="), digital_link_column(x))))
+    object_lines = F.transform(objects, lambda x: F.flatten(F.transform(F.array_sort(F.transform(x["o"], lambda m: element(x, m))), lambda y: y["v"])))
+
+    def in_order(x: Column) -> Column:
+        parts = []
+        for name in TOP:
+            if name in excluded or name not in [*_SCALARS, *_SHAPES]:
+                continue
+            if name in _SCALARS:
+                parts.append(F.array(F.get(x["leaf"], F.lit(_SCALARS.index(name)))))
+            elif name in _PLACES:
+                line = F.get(x["leaf"], F.lit(len(_SCALARS) + _PLACES.index(name)))
+                parts.append(F.array(F.when(line.isNotNull(), F.lit(name)), line))
+            else:
+                body = F.get(x["epcs"], F.lit(EPC_LISTS.index(name))) if name in EPC_LISTS else F.get(x["objects"], F.lit([*QUANTITY_LISTS, *_PAIRS].index(name)))
+                parts.append(F.coalesce(F.when(F.size(body) > 0, F.concat(_named([name]), body)), F.expr("cast(array() as array<string>)")))
+        return F.array_compact(F.concat(*parts))
+
+    # A lambda over one struct names what the parts share.
+    return F.element_at(F.transform(F.array(F.struct(leaf_lines.alias("leaf"), epc_lines.alias("epcs"), object_lines.alias("objects"))), in_order), 1)
 
 
 def prehash(events: DataFrame, options: Options | None = None, *, drop_empty: bool = False) -> DataFrame:
     """events with prehash (lines; "" for document headers) and error (null if there is none). Needs event_json and namespaces.
 
-    drop_empty leaves out events with an empty pre-hash; plain events never have one, so only the tree's are looked at.
+    drop_empty leaves out events with an empty pre-hash. Columns of the events named prehash or error are replaced.
     """
     options = options or Options()
-    df = events.withColumn("__m", F.from_json("event_json", "map<string,string>"))
-    df = df.withColumn("__plain", is_plain(options))
-    plain = with_lines(df.filter("__plain"), options).withColumn("prehash", F.array_join("__lines", "\n")).withColumn("error", F.lit(None).cast("string"))
-    tree = by_tree(df.filter("not __plain").drop("__m", "__plain"), options)
-    return plain.drop("__m", "__plain", "__lines").unionByName(tree.filter("prehash is null or prehash <> ''") if drop_empty else tree)
+    events = events.drop("prehash", "error")
+    df = once(parsed(events), is_plain(options), "__plain")
+    rest = lambda name: F.when(~F.col("__plain"), F.col(name))
+    df = df.withColumn("__tree", tree_udf(options)(rest("event_json"), rest("namespaces"), ~F.col("__plain")))
+    plain = F.struct(F.array_join(lines(options), "\n").alias("prehash"), F.lit(None).cast("string").alias("error"))
+    found = F.array(F.when(F.col("__plain"), plain).otherwise(F.struct("__tree.prehash", "__tree.error")))
+    kept = F.filter(found, lambda x: x["prehash"].isNull() | (x["prehash"] != "")) if drop_empty else found
+    df = df.select(*events.columns, F.explode(kept).alias("__out"))
+    return df.select(*events.columns, "__out.prehash", "__out.error")
+
+
+def tree_udf(options: Options):
+    """(event_json, namespaces, whether to do it) to prehash and error, by the tree."""
+    excluded, version, failfast = options.excluded(), options.version, options.failfast
+
+    def run(events: pa.Array, namespaces: pa.Array, wanted: pa.Array) -> pa.Array:
+        texts: list[str | None] = [None] * len(events)
+        errors: list[str | None] = [None] * len(events)
+        for i in np.flatnonzero(wanted.to_numpy(zero_copy_only=False)).tolist():
+            try:
+                texts[i] = canonical_tree.prehash(events[i].as_py() or "", dict(namespaces[i].as_py() or []), excluded, version)
+            except (ValueError, TypeError, RecursionError) as e:
+                if failfast:
+                    raise RuntimeError(f"Exception occurred during event hash generation : {e}") from e
+                errors[i] = str(e)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["prehash", "error"])
+
+    return F.arrow_udf(run, "prehash string, error string")
 
 
 def by_tree(events: DataFrame, options: Options | None = None) -> DataFrame:
     """prehash for any events, by the tree."""
-    options = options or Options()
-    names = events.columns
-    j, n = names.index("event_json"), names.index("namespaces")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, errors = [], []
-            for text, ns in zip(batch.column(j).to_pylist(), batch.column(n).to_pylist(), strict=True):
-                try:
-                    lines.append(canonical_tree.prehash(text or "", dict(ns or []), options.excluded(), options.version))
-                    errors.append(None)
-                except (ValueError, TypeError) as e:
-                    if options.failfast:
-                        raise RuntimeError(f"Exception occurred during event hash generation : {e}") from e
-                    lines.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.string()), pa.array(errors, pa.string())], [*names, "prehash", "error"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    return events.mapInArrow(run, f"{schema}, prehash string, error string")
+    events = events.drop("prehash", "error")
+    df = events.withColumn("__tree", tree_udf(options or Options())("event_json", "namespaces", F.lit(True)))
+    return df.select(*events.columns, "__tree.prehash", "__tree.error")

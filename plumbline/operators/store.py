@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def duplicate_groups(df: DataFrame, hash_id: str, id_: str) -> DataFrame:
@@ -13,16 +12,10 @@ def duplicate_groups(df: DataFrame, hash_id: str, id_: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, hash_id: str, *order: str) -> DataFrame:
-    """The first row of each hash. The least key is found by aggregation and joined back, so a hot hash is no task of its own."""
-    rank = F.struct(*order)
-    first = df.groupBy(hash_id).agg(F.min(rank).alias("__first"))
-    joined = df.withColumn("__rank", rank).join(first.withColumnRenamed(hash_id, "__h"), F.col(hash_id).eqNullSafe(F.col("__h")) & F.col("__rank").eqNullSafe(F.col("__first")))
-    return joined.drop("__rank", "__h", "__first").dropDuplicates([hash_id])
-
-
-def keep_first_by_window(df: DataFrame, hash_id: str, *order: str) -> DataFrame:
-    """keep_first where no hash is hot: one shuffle, no join."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(hash_id).orderBy(*order))).filter("__n = 1").drop("__n")
+    """The first row of each hash, by an aggregate that combines before its one shuffle, so a hot hash is a row a task."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = df.groupBy(F.col(f"`{hash_id}`").alias("__h")).agg(F.min_by(row, F.struct(*order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def new_events(df: DataFrame, store: DataFrame, hash_id: str) -> DataFrame:
@@ -41,6 +34,17 @@ def equivalent(left: DataFrame, right: DataFrame, hash_id: str) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+#: Limbs of 32 bits of a digest that are summed.
+_LIMBS = 8
+
+
 def set_digest(hashes: Column) -> Column:
-    """An aggregate: the digest of a group's hashes in any order."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(hashes)), ""), 256)
+    """An aggregate: the digest of a group's hashes in any order, repeats counted.
+
+    The hashes' own SHA-256 digests are summed, limb by limb, modulo 2**32, and the sums and their number hashed again. Sums combine
+    before the shuffle, so a group of any size is a row a task. Null hashes don't count.
+    """
+    d = F.sha2(hashes, 256)
+    limb = lambda k: F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long")
+    sums = [F.lpad(F.lower(F.hex(F.coalesce(F.sum(limb(k)), F.lit(0)) % (1 << 32))), 8, "0") for k in range(_LIMBS)]
+    return F.sha2(F.concat(*sums, F.lit(":"), F.count(hashes).cast("string")), 256)

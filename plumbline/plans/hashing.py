@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashing
 from plumbline.operators import canonical, canonical_tree
-from plumbline.schema import Options
+from plumbline.schema import ALGORITHMS, Options
+from plumbline.sources import documents
 
 
 def hash_events(events: DataFrame, options: Options | None = None) -> DataFrame:
@@ -27,19 +29,35 @@ def hash_one(spark: SparkSession, event_json: str, namespaces: dict[str, str] |
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions event_prehash(json, namespaces, version) and event_hash(json, namespaces, algorithm, version)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """SQL functions event_prehash(json, namespaces, version), event_hash(json, namespaces, algorithm, version), for which an unknown
+    algorithm means sha-256, and the table function explode_events(document, format): event_ord, event_json, namespaces.
 
+    namespaces: a map, or null. A null or bad event has null for both; version: 2.0 or 2.1.
+    """
     excluded = Options().excluded()
 
-    @pandas_udf("string")
-    def event_prehash(text: pd.Series, namespaces: pd.Series, version: pd.Series) -> pd.Series:
-        return pd.Series([canonical_tree.prehash(t, dict(n) if n is not None else {}, excluded, v).replace("\n", "").replace("\r", "") for t, n, v in zip(text, namespaces, version, strict=True)])
+    def one(text: str | None, namespaces: list | None, version: str) -> str | None:
+        try:
+            return canonical_tree.prehash(text or "", dict(namespaces or []), excluded, version).replace("\n", "").replace("\r", "")
+        except (ValueError, TypeError, RecursionError):
+            return None
 
-    spark.udf.register("event_prehash", event_prehash)
-    known = "', '".join(x for x in ("sha-1", "sha-224", "sha-256", "sha-384", "sha-512", "md5"))
+    def event_prehash(text: pa.Array, namespaces: pa.Array, version: pa.Array) -> pa.Array:
+        return pa.array([one(*x) for x in zip(text.to_pylist(), namespaces.to_pylist(), version.to_pylist(), strict=True)], pa.string())
+
+    spark.udf.register("event_prehash", F.arrow_udf(event_prehash, "string"))
+    cases = " ".join(f"WHEN '{x}' THEN {hashing.digest_sql('p', x)}" for x in ALGORITHMS)
+    known = ", ".join(f"'{x}'" for x in ALGORITHMS)
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION event_digest(p STRING, a STRING, v STRING) RETURNS STRING
-        RETURN concat('ni:///', CASE WHEN lower(a) IN ('{known}') THEN lower(a) ELSE 'sha-256' END, ';',
-            CASE lower(a) WHEN 'sha-1' THEN sha1(p) WHEN 'md5' THEN md5(p) WHEN 'sha-224' THEN sha2(p, 224) WHEN 'sha-384' THEN sha2(p, 384) WHEN 'sha-512' THEN sha2(p, 512) ELSE sha2(p, 256) END, '?ver=CBV', v)""")
+        RETURN CASE WHEN p IS NOT NULL THEN concat('ni:///', CASE WHEN lower(a) IN ({known}) THEN lower(a) ELSE 'sha-256' END, ';', CASE lower(a) {cases} ELSE sha2(p, 256) END, '?ver=CBV', v) END""")
+    spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION event_hash(j STRING, n MAP<STRING, STRING>, a STRING, v STRING) RETURNS STRING
+        RETURN event_digest(event_prehash(j, n, v), a, v)""")
+
+    class ExplodeEvents:
+        def eval(self, document: str, format: str):
+            for i, (event, ns) in enumerate(documents.document_events(document or "", format)):
+                yield i, event, ns
+
+    spark.udtf.register("explode_events", F.udtf(ExplodeEvents, returnType="event_ord int, event_json string, namespaces map<string,string>"))

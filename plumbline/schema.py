@@ -26,6 +26,7 @@ TEMPLATE: dict[str, list[str]] = {
     "sensorMetadata": "time startTime endTime deviceID deviceMetadata rawData dataProcessingMethod bizRules".split(),
     "sensorReport": "type exception deviceID deviceMetadata rawData dataProcessingMethod time microorganism chemicalSubstance value component stringValue booleanValue hexBinaryValue uriValue minValue maxValue meanValue sDev percRank percValue uom coordinateReferenceSystem".split(),
 }
+# Fixed values, too: names of the standards, and which fields count for nothing.
 #: What the objects of these lists are called; those of the others have no name.
 ELEMENTS = {**{x: "quantityElement" for x in QUANTITY_LISTS}, "sensorElementList": "sensorElement"}
 UNNAMED = ["bizTransactionList", "sourceList", "destinationList"]
@@ -41,6 +42,7 @@ BARE = {("", "bizStep"): "BizStep-", ("", "disposition"): "Disp-", ("bizTransact
 #: Of a sensor report, what its type, exception and component are relative to.
 SENSOR_BASE = {"type": VOC, "exception": VOC, "component": f"{CBV}Comp-"}
 
+# Schemes and application identifiers of the GS1 standards.
 #: EPC schemes as GS1 Digital Links: (AI, how the key is made, leading text, whether the serial follows the key, AI of the serial).
 #: Keys: "indicator" moves the first digit of the item before the company and adds a check digit; "check" only adds it; "join" neither.
 SCHEMES: dict[str, tuple[str, str, str, bool, str | None]] = {

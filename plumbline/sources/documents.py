@@ -6,6 +6,7 @@ All give rows of source_file, event_ord, event_json and namespaces (schema.EVENT
 from __future__ import annotations
 
 import json
+import sys
 import urllib.request
 from collections.abc import Iterator
 from xml.parsers import expat
@@ -37,6 +38,11 @@ def of_content_type(content_type: str) -> str:
     return "xml" if any(x in content_type.lower() for x in ("application/xml", "text/xml")) else "json"
 
 
+def from_stdin(spark: SparkSession, *, format: str = "json") -> DataFrame:
+    """Events of one document from standard input, read by the driver."""
+    return from_text(spark, sys.stdin.read(), format=format, name="-")
+
+
 def read(spark: SparkSession, *paths: str, format: str | None = None, stream: bool = False, max_files: int = 100) -> DataFrame:
     """Events of files (globs allowed): each file whole, a JSON document or list of events, or an XML document.
 
@@ -45,7 +51,7 @@ def read(spark: SparkSession, *paths: str, format: str | None = None, stream: bo
     if stream:
         df = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(*paths)
     else:
-        df = spark.read.option("wholetext", True).text(list(paths))
+        df = spark.read.text(list(paths), wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
     if format:
         return explode(df, format)
@@ -59,26 +65,80 @@ def read_lines(spark: SparkSession, *paths: str, namespaces: dict[str, str] | No
     return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).alias("event_ord"), F.col("value").alias("event_json"), ns.alias("namespaces"))
 
 
-def explode(documents: DataFrame, format: str = "json") -> DataFrame:
+def explode(documents: DataFrame, format: str = "json", *, xml_exclude: tuple[str, ...] = ()) -> DataFrame:
     """source_file, raw to events. A JSON array is a list of events; an object with epcisBody a document; any other object an event.
-    Raw text that is neither raises."""
+
+    Raw text that is neither, or no XML, gives one row whose event_json is a JSON string that says so: hashing makes it a row with an
+    error, and the other documents go on. In lists, the prefixes gs1 and cbvmda are known. xml_exclude: XML elements whose path holds
+    one of these names, even as a part, are left out.
+    """
     if format == "json":
+        raw = F.trim("raw")
         body = F.get_json_object("raw", "$.epcisBody")
         lists = [F.get_json_object(body, p) for p in ("$.eventList", "$.queryResults.resultsBody.eventList")]
-        one = F.when(F.trim("raw").startswith("["), F.col("raw")).when(body.isNotNull(), F.coalesce(*lists, F.lit("[]"))).otherwise(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
-        events = F.from_json(one, "array<string>")
-        checked = F.when(events.isNull(), F.raise_error(F.lit("Expecting a JSON document or array of events"))).otherwise(events)
-        named = documents.select("source_file", F.posexplode(checked).alias("event_ord", "event_json"), F.when(~F.trim("raw").startswith("["), F.get_json_object("raw", "$['@context']")).alias("context"))
+        one = F.when(raw.startswith("["), raw).when(body.isNotNull(), F.coalesce(*lists, F.lit("[]"))).when(raw.startswith("{"), F.concat(F.lit("["), raw, F.lit("]")))
+        bad = F.array(F.lit(json.dumps("Expecting a JSON document or array of events")))
+        # A single event's own @context is looked at with the event.
+        context = F.when(raw.startswith("["), F.lit("[]")).otherwise(F.get_json_object("raw", "$['@context']"))
+        named = documents.select("source_file", F.posexplode(F.coalesce(F.from_json(one, "array<string>"), bad)).alias("event_ord", "event_json"), context.alias("context"))
         return named.select("source_file", "event_ord", "event_json", _namespaces("context").alias("namespaces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(name, i, json.dumps(e, ensure_ascii=False), ns) for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, (e, ns) in enumerate(xml_events(raw))]
+            rows = [(name, i, json.dumps(e, ensure_ascii=False), ns) for name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, (e, ns) in enumerate(_or_error(raw, xml_exclude))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([list(r[3].items()) for r in rows], pa.map_(pa.string(), pa.string()))], EVENTS.names)
 
     return documents.select("source_file", "raw").mapInArrow(run, EVENTS)
 
 
+def _or_error(raw: str | None, exclude: tuple[str, ...]) -> list[tuple[dict | str, dict[str, str]]]:
+    try:
+        return xml_events(raw or "", exclude)
+    except ValueError as e:
+        return [(str(e), {})]
+
+
+def document_events(raw: str, format: str = "json") -> list[tuple[str, dict[str, str]]]:
+    """(event_json, namespaces) of the events of one document, as explode has them."""
+    if format == "xml":
+        return [(json.dumps(e, ensure_ascii=False), ns) for e, ns in _or_error(raw, ())]
+    try:
+        doc = json.loads(raw, parse_float=_Raw)
+    except ValueError:
+        doc = None
+    if not isinstance(doc, (dict, list)):
+        return [(json.dumps("Expecting a JSON document or array of events"), {})]
+    if isinstance(doc, list):
+        return [(_dump(e), namespaces_of([])) for e in doc]
+    ns = namespaces_of(doc["@context"]) if "@context" in doc else {}
+    body = doc.get("epcisBody")
+    if body is None:
+        return [(_dump(doc), ns)]
+    events = body.get("eventList") or body.get("queryResults", {}).get("resultsBody", {}).get("eventList") or []
+    return [(_dump(e), ns) for e in events]
+
+
+class _Raw(float):
+    """A float that keeps its text."""
+
+    def __new__(cls, text: str):
+        self = super().__new__(cls, text)
+        self.text = text
+        return self
+
+    def __repr__(self) -> str:
+        return self.text
+
+
+def _dump(x: object) -> str:
+    """JSON with floats as they were written."""
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_dump, x)) + "]"
+    return x.text if isinstance(x, _Raw) else json.dumps(x, ensure_ascii=False)
+
+
 def _namespaces(context: str) -> F.Column:
     """namespaces_of as an expression: objects of the array (or the object itself) in turn, later prefixes over earlier ones."""
     raw = F.col(context)
@@ -94,8 +154,9 @@ class _Element:
         self.name, self.attributes, self.children, self.text = name, attributes, [], ""
 
 
-def xml_events(text: str) -> list[tuple[dict, dict[str, str]]]:
-    """Events of an XML document in the shape of their JSON form, each with the namespaces seen. Document types are refused."""
+def xml_events(text: str, exclude: tuple[str, ...] = ()) -> list[tuple[dict, dict[str, str]]]:
+    """Events of an XML document in the shape of their JSON form, each with the namespaces seen. Document types are refused.
+    Elements of events whose path (names from the event on, joined by /) holds one of exclude are left out."""
     events: list[tuple[dict, dict[str, str]]] = []
     stack: list[_Element] = []
     namespaces = namespaces_of([])
@@ -107,7 +168,10 @@ def xml_events(text: str) -> list[tuple[dict, dict[str, str]]]:
 
     def end(_: str) -> None:
         if stack:
+            path = "/".join(x.name for x in stack) if exclude else ""
             done = stack.pop()
+            if any(x in path for x in exclude):
+                return
             if stack:
                 stack[-1].children.append(done)
             else:

@@ -11,9 +11,10 @@ from plumbline.functions.values import instant, java_double, number, number_colu
 from plumbline.operators import canonical, store
 from plumbline.operators.canonical_tree import prehash
 from plumbline.plans.hashing import hash_events, hash_one
-from plumbline.schema import EVENTS, EXCLUDED, Options
+from plumbline.schema import ALGORITHMS, EVENTS, EXCLUDED, Options
 from plumbline.sources import documents
 
+# The events of published examples, whose digests are known.
 SENSOR = {
     "type": "ObjectEvent", "eventTime": "2021-05-27T14:00:00+01:00", "eventTimeZoneOffset": "+01:00", "epcList": ["https://id.gs1.org/8003/030013450007718765"], "action": "OBSERVE",
     "bizStep": "sensor_reporting", "readPoint": {"id": "urn:epc:id:sgln:4012345.00005.0"},
@@ -26,6 +27,7 @@ AGGREGATION = {
     "childEPCs": ["https://id.gs1.org/01/09520001123467/21/10000001001"], "action": "DELETE", "bizStep": "unpacking", "disposition": "in_progress",
     "persistentDisposition": {"set": ["completeness_verified"], "unset": ["completeness_inferred"]}, "readPoint": {"id": "https://id.gs1.org/414/9529999999993"}, "bizLocation": {"id": "https://id.gs1.org/414/9529999999993"},
 }
+# Our own.
 PLAIN = {
     "type": "ObjectEvent", "eventTime": "2019-04-02T15:00:00.12+01:00", "eventTimeZoneOffset": "+01:00", "epcList": ["urn:epc:id:sgtin:4012345.011111.9876", "urn:epc:id:sscc:4012345.0111111111"],
     "action": "OBSERVE", "bizStep": "inspecting", "disposition": "urn:epcglobal:cbv:disp:active", "readPoint": {"id": "urn:epc:id:sgln:4012345.00005.12"},
@@ -51,7 +53,7 @@ def test_published_hashes(event, digest):
 
 def test_native_path_equals_tree(spark):
     df = frame(spark, PLAIN, SENSOR, AGGREGATION, EXTENDED, {"type": "ObjectEvent", "eventTime": "2019-04-02T15:00:00Z", "epcList": []}, {"type": "ObjectEvent", "eventTime": "bad"}, "bogus", {"type": "EPCISDocument"})
-    plain = df.withColumn("__m", F.from_json("event_json", "map<string,string>")).select(canonical.is_plain(Options()))
+    plain = canonical.parsed(df).select(canonical.is_plain(Options()))
     assert [r[0] for r in plain.collect()] == [True, False, False, False, True, False, False, False]
     one, two = (f(df).orderBy("event_ord").select("prehash", "error").collect() for f in (canonical.prehash, canonical.by_tree))
     assert one == two
@@ -106,11 +108,75 @@ def test_xml_equals_json(spark):
     assert one.count() == 1 and store.equivalent(one, two, "sha-256").isEmpty()
     with pytest.raises(Exception, match="document types"):
         documents.xml_events("<!DOCTYPE x><x/>")
-    with pytest.raises(Exception, match="JSON document"):
-        documents.from_text(spark, "bogus-data").collect()
     assert documents.from_text(spark, json.dumps([PLAIN, SENSOR])).count() == 2
 
 
+def test_bad_documents(spark):
+    """Bad documents give rows with errors; with failfast, hashing raises."""
+    docs = spark.createDataFrame([("a", "bogus-data"), ("b", json.dumps(PLAIN)), ("c", "[1"), ("d", "{" * 20_000)], "source_file string, raw string")
+    rows = {r.source_file: r for r in hash_events(documents.explode(docs)).collect()}
+    assert "JSON document" in rows["a"].error and "JSON document" in rows["c"].error and rows["d"].error and rows["b"].error is None
+    xml = spark.createDataFrame([("a", "<x"), ("b", None), ("c", "<!DOCTYPE x><x/>"), ("d", "<ObjectEvent><eventTime>2019-04-02T15:00:00Z</eventTime></ObjectEvent>")], "source_file string, raw string")
+    rows = {r.source_file: r.error for r in hash_events(documents.explode(xml, "xml")).collect()}
+    assert "XML" in rows["a"] and "XML" in rows["b"] and "document types" in rows["c"] and rows["d"] is None
+    with pytest.raises(Exception, match="during event hash generation"):
+        hash_events(documents.explode(docs), Options(failfast=True)).collect()
+    deep = frame(spark, '{"type":"ObjectEvent","x":' + "[" * 20_000 + "]" * 20_000 + "}", PLAIN)
+    assert [r.error is None for r in canonical.prehash(deep).orderBy("event_ord").collect()] == [False, True]
+
+
+def test_files(spark, tmp_path):
+    """Documents of many lines, by glob: JSON (a document, a query document, a list, one event) and XML."""
+    doc = {"@context": [{"ex": "https://ex.example/"}], "type": "EPCISDocument", "epcisBody": {"eventList": [{**PLAIN, "ex:a": 1}, SENSOR]}}
+    query = {"type": "EPCISQueryDocument", "epcisBody": {"queryResults": {"resultsBody": {"eventList": [PLAIN]}}}}
+    for name, x in {"doc": doc, "query": query, "list": [PLAIN, {**PLAIN, "ilmd": {"cbvmda:lotNumber": "L"}}], "one": PLAIN}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, indent=2))
+    (tmp_path / "x.xml").write_text("<d xmlns:ex='https://ex.example/'>\n<ObjectEvent>\n<eventTime>2019-04-02T15:00:00Z</eventTime>\n<ex:a>1</ex:a>\n<ex:reasonCode>2</ex:reasonCode></ObjectEvent>\n</d>")
+    rows = hash_events(documents.read(spark, f"{tmp_path}/*.json", f"{tmp_path}/*.xml"), Options(("prehash", "sha-256"))).collect()
+    by = {}
+    for r in rows:
+        assert r.error is None
+        by.setdefault(r.source_file.rsplit("/", 1)[1], []).append(r.prehash)
+    assert {k: len(v) for k, v in by.items()} == {"doc.json": 2, "query.json": 1, "list.json": 2, "one.json": 1, "x.xml": 1}
+    assert by["query.json"] == by["one.json"] == [flat(PLAIN)] and by["list.json"][1].endswith("ilmd{urn:epcglobal:cbv:mda}lotNumber=L")
+    assert by["x.xml"] == ["eventType=ObjectEventeventTime=2019-04-02T15:00:00.000Z{https://ex.example/}a=1{https://ex.example/}reasonCode=2"]
+    whole = documents.explode(spark.read.text(f"{tmp_path}/x.xml", wholetext=True).selectExpr("'' AS source_file", "value AS raw"), "xml", xml_exclude=tuple(EXCLUDED))
+    assert hash_events(whole, Options(("prehash",))).first().prehash == "eventType=ObjectEventeventTime=2019-04-02T15:00:00.000Z{https://ex.example/}a=1"
+
+
+def test_time_zones(spark):
+    """The session's time zone changes no hash, on either path."""
+    df, found = frame(spark, PLAIN, {**PLAIN, "eventTime": "2024-03-31T01:30:00.9999Z"}, {**PLAIN, "eventTime": "1969-12-31T23:59:59.5-11:30"}), []
+    for zone in ("UTC", "America/New_York", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found += [[r[0] for r in f(df).orderBy("event_ord").select("prehash").collect()] for f in (canonical.prehash, canonical.by_tree)]
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert all(x == found[0] for x in found) and "eventTime=2019-04-02T14:00:00.120Z" in found[0][0]
+
+
+def test_plan(spark, tmp_path):
+    """One scan, and each event parsed twice, whatever is asked for."""
+    frame(spark, PLAIN).write.parquet(str(tmp_path / "e"))
+    plan = hash_events(spark.read.parquet(str(tmp_path / "e")), Options(("prehash", "sha-256", "md5")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("from_json") == 2
+
+
+def test_sql_functions(spark):
+    from plumbline.plans.hashing import register
+
+    register(spark)
+    frame(spark, PLAIN, EXTENDED, "bogus").createOrReplaceTempView("own_events")
+    want = [{x: r[x] for x in ALGORITHMS} for r in hash_events(frame(spark, PLAIN, EXTENDED), Options(tuple(ALGORITHMS))).orderBy("event_ord").collect()]
+    columns = ", ".join(f"event_hash(event_json, namespaces, '{x}', '2.0') AS `{x}`" for x in ALGORITHMS)
+    got = spark.sql(f"SELECT event_prehash(event_json, namespaces, '2.0') AS p, {columns}, event_hash(event_json, NULL, 'rsa', '2.1') AS other FROM own_events ORDER BY event_ord").collect()
+    assert [{x: r[x] for x in ALGORITHMS} for r in got[:2]] == want and [r.p for r in got] == [flat(PLAIN), flat(EXTENDED), None]
+    assert got[0].other.startswith("ni:///sha-256;") and got[0].other.endswith("?ver=CBV2.1") and got[2]["sha-256"] is None
+    doc = json.dumps({"@context": {"ex": "https://ex.example/"}, "epcisBody": {"eventList": [PLAIN, SENSOR]}})
+    rows = spark.sql("SELECT * FROM explode_events(:doc, 'json')", args={"doc": doc}).collect()
+    assert [json.loads(r.event_json) for r in rows] == [PLAIN, SENSOR] and rows[0].namespaces["ex"] == "https://ex.example/"
+    assert [(r.event_ord, r.event_json) for r in documents.from_text(spark, doc).collect()][0][0] == rows[0].event_ord
+
+
 def test_values(spark):
     assert [java_double(x) for x in ("26.10", "1e7", "12345678.5", "0.005", "0.0001", "-0.0", "5e-324")] == ["26.1", "1.0E7", "1.23456785E7", "0.005", "1.0E-4", "-0.0", "5.0E-324"]
     assert [number(x) for x in ("25.0", "007", "-0.0", "10000000.0", "0.50")] == ["25", "7", "0", "10000000.0", "0.50"]
@@ -122,6 +188,9 @@ def test_values(spark):
             "urn:epc:id:gdti:4012345.00005.987", "urn:epc:class:lgtin:4023333.055555.ABC", "urn:epc:idpat:sgtin:4023333.055555.*", "urn:epc:id:pgln:4023333.00000", "urn:epc:id:nope:1.2", "x"]
     df = spark.createDataFrame([(x,) for x in urns], "x string")
     assert [r[0] for r in df.select(digital_link_column(F.col("x"))).collect()] == [digital_link(x) for x in urns]
+    tips = [f"urn:epc:id:itip:4012345.011111.01{x}" for x in ("", ".02", ".02.9", ".02.*", ".02.a.b")]
+    df = spark.createDataFrame([(x,) for x in tips], "x string")
+    assert [r[0] for r in df.select(digital_link_column(F.col("x"))).collect()] == [digital_link(x) for x in tips]
     assert digital_link(urns[1]) == "https://id.gs1.org/414/4012345000054"
     assert digital_link(urns[3]) == "https://id.gs1.org/8004/4000001111"
     assert short_names("https://example.org/some/gtin/09520001123467/ser/1") == "https://id.gs1.org/01/09520001123467/21/1"
@@ -143,6 +212,8 @@ def test_hashes(spark):
 def test_store(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (3, "b"), (4, None)], "id long, h string")
     assert {tuple(r) for r in store.keep_first(df, "h", "id").select("id", "h").collect()} == {(1, "a"), (3, "b"), (4, None)}
+    one, two = (df.filter("h is not null").repartition(n).agg(store.set_digest(F.col("h"))).first()[0] for n in (1, 3))
+    assert one == two != df.filter("id < 3").agg(store.set_digest(F.col("h"))).first()[0]
     assert [tuple(r) for r in store.duplicate_groups(df, "h", "id").orderBy("h").collect()] == [("a", 2, 1), ("b", 2, 3)]
 
 
@@ -165,3 +236,17 @@ def test_sinks(spark, tmp_path):
     sinks.write_batch(df, str(tmp_path / "out"), ["prehash", "sha-256"])
     assert spark.read.text(str(tmp_path / "out/hashes")).count() == 2
     assert json.loads(df.select(sinks.as_json(["sha-256"])).first()[0])["sha-256"].startswith("ni:///")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    (tmp_path / "a.json").write_text(json.dumps([PLAIN, SENSOR], indent=1))
+    (tmp_path / "bad.json").write_text("bogus")
+    assert main(["-p", "-a", "sha-256,md5", f"{tmp_path}/a.json"], spark) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert len(shown) == 6 and shown[0] == flat(PLAIN) and shown[1].startswith("ni:///sha-256;") and shown[2].startswith("ni:///md5;")
+    assert main(["-b", f"{tmp_path}/*.json"], spark) == 1 and "bad.json: event 0" in capsys.readouterr().err
+    assert (tmp_path / "a.hashes").read_text().splitlines() == [shown[1], shown[4]] and not (tmp_path / "bad.hashes").exists()
+    with pytest.raises(SystemExit):
+        main(["-b", "-"], spark)
