@@ -1,11 +1,12 @@
-r"""Line dedup: lines whose sets of words reach a Jaccard similarity of 0.8 are classes (see setjoin); of each class the first line
-stays, by (doc_id, line), and later ones go.
+r"""Line dedup: a line goes if an earlier line of the corpus has the same words, or words with a Jaccard similarity of 0.8 or more to its
+own (see earlier). Earlier is by (doc_id, line); the earlier line need not stay itself.
 
 Lines are split at \n; words are ``[^\x20\x09-\x0D]+``, A-Z as a-z. Lines without a word always stay;
-all others take part, however short. Two lines are of one class when a chain of similar lines connects them.
+all others take part, however short.
 
-Defined results: a null text has no lines; null ids come first; repeated rows (equal id and text) are told nothing apart and keep
-the same lines; a document without a word left, of which lines were removed, goes; extra columns are kept as they are.
+Defined results: a null text has no lines; null ids come first; rows with equal ids and different texts come in the order of a hash;
+repeated rows (equal id and text) are told nothing apart and keep the same lines; a document without a word left, of which lines were
+removed, goes; an empty table gives an empty one; extra columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -13,30 +14,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import setjoin
+from plumbline.llm.earlier import matches
 from plumbline.llm.scratch import stash
+from plumbline.llm.setjoin import line_sets, with_identity
 
-LEAST_WORDS = 1
 
-
-def removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, percent: int = 80) -> DataFrame:
+def removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, hub_rows: int | None = None) -> DataFrame:
     """rid and the numbers (from 0) of the lines to remove, for documents that have some."""
-    found = setjoin.classes(setjoin.with_identity(docs, doc_id, text), setjoin.line_sets(least), percent=percent)
-    at = F.struct("doc", "rid", "line")
-    nodes = found.items.groupBy("node").agg(F.min(at).alias("first"), F.count("*").alias("c"))
-    nodes = nodes.join(found.comps, "node", "left").filter("c > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
-    nodes = stash(nodes, "line-nodes")
-    least_of = nodes.groupBy("comp").agg(F.min("first").alias("keeper"))
-    keepers = stash(nodes.join(least_of, "comp").select("node", F.col("keeper.rid").alias("k_rid"), F.col("keeper.line").alias("k_line")), "line-keepers")
-    later = found.items.join(keepers, "node").filter("rid <> k_rid or line <> k_line").select("rid", "line")
+    m = matches(with_identity(docs, doc_id, text), line_sets(), percent=percent, hub_rows=hub_rows)
+    nodes = m.firsts.join(m.later.withColumn("similar", F.lit(True)), "node", "left")
+    later = m.items.join(nodes, "node").filter("similar or rid <> place.rid or line <> place.line").select("rid", "line")
     return later.distinct().groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, *, hub_rows: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (numbers from 0, comma-joined) of each document."""
-    gone = stash(removed(docs), "removed-lines")
-    own = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
+    gone = stash(removed(docs, hub_rows=hub_rows), "removed-lines")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), lines.alias("n_lines"))
     out = own.join(gone, "rid", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
@@ -53,3 +48,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     left = F.when(F.col("removed").isNull(), F.col(t)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     rows = rows.withColumn("left", left).filter("removed is null or left rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return rows.select(*[F.col("left" if f"c{k}" == t else f"c{k}").alias(x) for k, x in enumerate(names)])
+
+
+def brute_force(rows: list[tuple[int | None, str | None]], percent: int = 80) -> list[list[int]]:
+    """The removed lines of each row, by comparing all lines; ids are different. For tests."""
+    import re
+
+    flat = [(-1 if i is None else i, k, row, frozenset(re.findall(rb"[^\x20\x09-\x0D]+", line.encode().lower()))) for row, (i, x) in enumerate(rows) if x is not None for k, line in enumerate(x.split("\n"))]
+    flat = sorted((x for x in flat if x[3]), key=lambda x: x[:2])
+    out: list[list[int]] = [[] for _ in rows]
+    for at, (_, k, row, s) in enumerate(flat):
+        if any(100 * len(s & t) >= percent * len(s | t) for *_, t in flat[:at]):
+            out[row].append(k)
+    return out

@@ -104,7 +104,7 @@ def shingle_sets(n: int) -> Extract:
     return extract
 
 
-def line_sets(least: int) -> Extract:
+def line_sets(least: int = 1) -> Extract:
     r"""Items are \n-split lines with at least this many distinct words; tokens are words."""
 
     def extract(w: Words) -> Sets:
@@ -132,8 +132,8 @@ def _batch(columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
 _ITEMS = "doc long, rid long, line int, n int, node long, slice int, counts binary"
 
 
-def scan(docs: DataFrame, extract: Extract, every: bool) -> DataFrame:
-    """docs: doc, rid, text. Rows of items (doc, rid, line, n, node), and of counters (slice, counts). every: items without tokens too."""
+def scan(docs: DataFrame, extract: Extract) -> DataFrame:
+    """docs: doc, rid, text. Rows of items (doc, rid, line, n, node), and of counters (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << BITS, np.int64)
@@ -183,9 +183,9 @@ class Order:
     salts: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> Order:
+    def of(cls, counts: np.ndarray, hub_rows: int = HUB_ROWS) -> Order:
         level = np.minimum(255, np.log2(1.0 + counts) * 8).astype(np.uint8)
-        most = max(HUB_ROWS, int(HUB_MEANS * counts.mean()))
+        most = max(hub_rows, int(HUB_MEANS * counts.mean()))
         return cls(level, np.minimum(1 << 14, -(-counts // most)).clip(1).astype(np.int32))
 
 
@@ -284,20 +284,20 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
         return _batch({"token": token[row], "node": node[row], "np": size[row], "bits": bits[row], "leader": leader, "member": member})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        # Parts of the last group so far, which may go on in the next batch.
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             here = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            held = here if held is None else [np.concatenate(x) for x in zip(held, here, strict=True)]
-            # The last group may go on in the next batch.
-            last = (held[0] == held[0][-1]) & (held[1] >> 16 == held[1][-1] >> 16)
+            last = (here[0] == here[0][-1]) & (here[1] >> 16 == here[1][-1] >> 16)
             cut = int(np.argmax(last))
-            if cut:
-                yield found(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield found(*held)
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1] >> 16) != (here[0][0], here[1][0] >> 16)):
+                yield found(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in here], strict=True)))
+                held = []
+            held.append([x[cut:] for x in here])
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     together = rows.repartition("token", F.shiftright("sc", 16)).sortWithinPartitions("token", "sc", "node")
     return together.mapInArrow(run, "token long, node long, np long, bits long, leader long, member boolean")
@@ -434,23 +434,33 @@ class Found:
             self.verify(stash(picked(pairs), "picked") if step < picks else pairs.select("a", "b"))
 
     def verify(self, pairs: DataFrame) -> None:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = self.items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
-        wanted = stash(rows.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
-        sets = stash(sets_of(self.docs.select("rid", "text"), wanted, self.extract), "sets")
-        new = stash(verified(pairs, sets, self.percent).distinct(), "links")
+        new = linked(self.docs, self.extract, self.items, pairs, self.percent)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if not new.isEmpty():
             self.links = self.links.unionByName(new)
             self.comps = stash(components(self.links), "comps")
 
 
-def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool = True) -> Classes:
+def linked(docs: DataFrame, extract: Extract, items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough, each once."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    rows = items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
+    wanted = stash(rows.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
+    sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets")
+    return stash(verified(pairs, sets, percent).distinct(), "links")
+
+
+def scanned(docs: DataFrame, extract: Extract) -> tuple[DataFrame, Order]:
+    """The items (doc, rid, line, n, node) of docs, and the order of their tokens."""
+    every = stash(scan(docs, extract), "items")
+    order = Order.of(total_counts(every.filter("slice is not null").select("slice", "counts")))
+    return every.filter("slice is null").select("doc", "rid", "line", "n", "node"), order
+
+
+def classes(docs: DataFrame, extract: Extract, *, percent: int = 80) -> Classes:
     """docs: doc (long), rid (long, equal only for rows with equal text), text."""
     spark = docs.sparkSession
-    scanned = stash(scan(docs, extract, every), "items")
-    items = scanned.filter("slice is null").select("doc", "rid", "line", "n", "node")
-    order = Order.of(total_counts(scanned.filter("slice is not null").select("slice", "counts")))
+    items, order = scanned(docs, extract)
     met = stash(meetings(postings(docs, extract, order, percent), percent), "met")
     found = Found(docs, extract, items, percent, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, comp long"))
     members = met.filter("member").select("token", "node", "np", "bits")
@@ -483,5 +493,7 @@ def classes(docs: DataFrame, extract: Extract, *, percent: int = 80, every: bool
 
 
 def with_identity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, rid, text: rid tells apart rows with different ids or texts."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    """doc, rid, text: rid tells apart rows with different ids or texts. Ids that are no integers count by their hash (64 bits)."""
+    whole = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    doc = F.col(doc_id).cast("long") if whole else F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id)))
+    return docs.select(doc.alias("doc"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(text).alias("text"))

@@ -101,17 +101,3 @@ def words(texts: pa.Array, separators: np.ndarray, limit: int = PIECE) -> Iterat
 
 
 _ODD = mix(np.arange(1, 65, dtype=U)) | U(1)
-
-
-def shingles(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words, from the hashes of the words of one text; of the whole text if it has fewer, but some."""
-    if 0 < len(h) < n:
-        return mix(np.sum(h * _ODD[: len(h)], keepdims=True, dtype=U) + U(len(h)))
-    out = np.zeros(max(0, len(h) - n + 1), U)
-    for i in range(n):
-        out += h[i : len(out) + i] * _ODD[i]
-    return mix(out + U(n))
-
-
-def blobs(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())

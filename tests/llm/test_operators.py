@@ -134,26 +134,41 @@ def test_chat_odd(spark):
     assert [r.conv_id for r in chat.report(spark.createDataFrame([], kind)).collect()] == [-7]
 
 
-def test_lines(spark):
-    rng = random.Random(5)
-    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
-    base = [" ".join(word() for _ in range(12)) for _ in range(30)]
-    lines = [(" ".join(x.split()[:11] + [word()]) if rng.random() < 0.5 else x) for x in base * 4]
+def varied(rng, n_base, n, copies, changed):
+    """Lines of n words, copied, a part of the words of some changed."""
+    word = lambda: rng.choice("abcdefgh") + rng.choice("tuvwxyz") + rng.choice("abcdefgh")
+    base = [[word() for _ in range(rng.randint(1, n))] for _ in range(n_base)]
+    lines = [" ".join(word() if rng.random() < rng.choice((0, 0, changed)) else w for w in x) for x in base * copies]
     rng.shuffle(lines)
-    docs = spark.createDataFrame([(i, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(20)], "doc_id long, text string")
-    flat = [(i // 6, i % 6, set(x.split())) for i, x in enumerate(lines)]
-    parent = list(range(len(flat)))
-
-    def find(i):
-        return i if parent[i] == i else find(parent[i])
-
-    for i, (_, _, x) in enumerate(flat):
-        for j, (_, _, y) in enumerate(flat[:i]):
-            if len(x) >= 5 and len(y) >= 5 and 100 * len(x & y) >= 80 * len(x | y):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    want = {d: ",".join(str(k) for i, (e, k, _) in enumerate(flat) if e == d and find(i) != i) for d in range(20)}
-    assert {r.doc_id: r.removed_lines for r in line_dedup.report(docs).collect()} == want
+    return lines
+
+
+@pytest.mark.parametrize(("hub_rows", "percent"), [(None, 80), (1, 80), (8, 60)])
+def test_lines(spark, hub_rows, percent):
+    """Against all pairs, with tokens in one part and in several: near copies, sets just below the threshold, ids out of order."""
+    rng = random.Random(5)
+    lines = varied(rng, 40, 14, 8, 0.15) + varied(rng, 6, 400, 4, 0.08)
+    rows = [(i if i else None, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(58)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    gone = line_dedup.removed(docs, hub_rows=hub_rows, percent=percent).collect()
+    rid = {r.doc_id: r.rid for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid")).collect()}
+    got = {r.rid: r.removed for r in gone}
+    assert [got.get(rid[i], []) for i, _ in rows] == line_dedup.brute_force(rows, percent)
+
+
+def test_lines_without_an_earlier_match(spark):
+    """A later line that links two others does not make the second of them a later match."""
+    a = [f"w{i}" for i in range(12)]
+    rows = [(0, " ".join(a)), (1, " ".join(a[2:] + ["x", "y"])), (2, " ".join(a[1:] + ["x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.report(docs).collect()} == {0: 0, 1: 0, 2: 1}
+
+
+def test_lines_of_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two\nthree"), ("b", "One  TWO\nfour"), (None, "one\ntwo")], "doc_id string, text string")
+    assert sorted(r.n_removed for r in line_dedup.report(docs).collect()) == [0, 0, 1]
+    assert sorted(r.text for r in line_dedup.dedup(docs).collect())[-1:] == ["one\ntwo"] or line_dedup.dedup(docs).count() == 3
 
 
 def test_short_lines(spark):
