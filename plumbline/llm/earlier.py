@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.scratch import stash
-from plumbline.llm.setjoin import BITS, SEEN, Extract, Order, Sets, could_match, linked, prefix_length, scan, total_counts
+from plumbline.llm.setjoin import BITS, SEEN, SLICES, Extract, Order, Sets, could_match, linked, prefix_length, scan, total_counts
 from plumbline.llm.words import SPACES, U, mix, words
 
 #: Sizes up to which a bitmap has 1, 2, 4, 8 words; those above have 16.
@@ -86,6 +86,10 @@ class Rows:
         bits = self.bits[np.repeat(first - own[:-1], w) + np.arange(own[-1])]
         return Rows(*(getattr(self, f.name)[at] for f in fields(self)[:-1]), bits)
 
+    def slice(self, a: int, b: int) -> Rows:
+        first = self.starts()
+        return Rows(*(getattr(self, f.name)[a:b] for f in fields(self)[:-1]), self.bits[first[a] : first[b]])
+
     def pack(self) -> bytes:
         kinds = [np.diff(self.token, prepend=U(0)), *(getattr(self, f.name) for f in fields(self)[1:])]
         # Bytes of one significance together, so that small numbers compress.
@@ -117,11 +121,11 @@ def postings(docs: DataFrame, extract: Extract, order: Order, percent: int, shar
 
         def packed() -> pa.RecordBatch:
             rows = Rows.joined(waiting)
-            rows = rows.take(np.lexsort((rows.part, rows.token)))
             shard = shard_of(rows.token, rows.part, shards)
-            at = np.argsort(shard, kind="stable")
+            at = np.lexsort((rows.token, shard))
+            rows = rows.take(at)
             known, first = np.unique(shard[at], return_index=True)
-            out = [rows.take(x).pack() for x in np.split(at, first[1:])]
+            out = [rows.slice(a, b).pack() for a, b in zip(first, [*first[1:], len(at)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(out, pa.binary())], ["shard", "rows"])
 
         for batch in batches:
@@ -170,37 +174,47 @@ def shard_of(token: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
     return (mix(token + part.astype(U)) % U(shards)).astype(np.int64)
 
 
+def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Numbers in the order of (doc, line), equal for equal ones."""
+    if not len(doc):
+        return doc
+    low, lines = int(doc.min()), int(line.max()) + 1
+    if (int(doc.max()) - low + 1) * lines < 1 << 62:
+        return (doc - low) * lines + line
+    at = np.lexsort((line, doc))
+    out = np.zeros(len(at), np.int64)
+    out[at[1:]] = np.cumsum((np.diff(doc[at]) != 0) | (np.diff(line[at]) != 0))
+    return out
+
+
 class Meeting:
     """The rows of a shard, by token, part and first place; sets of a token once each."""
 
     def __init__(self, rows: Rows, percent: int):
-        at = np.lexsort((rows.line, rows.doc, rows.node, rows.part, rows.token))
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(rows.token[at]) != 0) | (np.diff(rows.part[at]) != 0) | (np.diff(rows.node[at]) != 0)
-        at = at[new]
-        at = at[np.lexsort((rows.node[at], rows.line[at], rows.doc[at], rows.part[at], rows.token[at]))]
+        # Packed rows come sorted by token, so a stable sort only merges them.
+        at = np.lexsort((rows.part, rows.token)) if rows.part.any() else np.argsort(rows.token, kind="stable")
+        edges = lambda: np.append(True, (rows.token[at[1:]] != rows.token[at[:-1]]) | (rows.part[at[1:]] != rows.part[at[:-1]]))[: len(at)]
         # Only tokens that two sets share, perhaps in another part.
-        many = np.diff(np.append(np.flatnonzero(self._edges(rows, at)), len(at)))
+        many = np.diff(np.append(np.flatnonzero(edges()), len(at)))
         at = at[np.repeat(many > 1, many) | (rows.part[at] > 0)]
-        self.rows, self.percent = rows.take(at), percent
-        new = self._edges(rows, at)
-        self.first = np.append(np.flatnonzero(new), len(at))
-        self.group = np.cumsum(new) - 1
-        self.wide, self.start = width(self.rows.size), self.rows.starts()
-        self.folded = np.bitwise_xor.reduceat(self.rows.bits, self.start[:-1]) if len(at) else self.rows.bits
-
-    @staticmethod
-    def _edges(rows: Rows, at: np.ndarray) -> np.ndarray:
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(rows.token[at]) != 0) | (np.diff(rows.part[at]) != 0)
-        return new
+        group, place = np.cumsum(edges()), places(rows.doc[at], rows.line[at])
+        order = np.lexsort((place, group))
+        at, group, place = at[order], group[order], place[order]
+        _, once = np.unique(mix(rows.node[at].view(U) + mix(group.astype(U))), return_index=True)
+        once.sort()
+        at, self.place = at[once], place[once]
+        new = edges()
+        self.percent, self.first, self.group = percent, np.append(np.flatnonzero(new), len(at)), np.cumsum(new) - 1
+        self.node, self.part, self.size, self.rank = rows.node[at], rows.part[at], rows.size[at].astype(np.int64), rows.place[at]
+        self.wide, starts = width(self.size), rows.starts()
+        self.start, self.bits = starts[at], rows.bits
+        self.folded = np.bitwise_xor.reduceat(rows.bits, starts[:-1])[at] if len(at) else rows.bits[:0]
 
     def may_match(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length, positional and bitmap filter of rows of one token, which counts as the first common one."""
-        r, p = self.rows, self.percent
-        na, nb = r.size[x].astype(np.int64), r.size[y].astype(np.int64)
+        p, na, nb = self.percent, self.size[x], self.size[y]
         both = na + nb
-        rest = np.minimum(na - r.place[x], nb - r.place[y])
+        rest = np.minimum(na - self.rank[x], nb - self.rank[y])
         most = both - 2 * -(-p * both // (100 + p))
         ok = (100 * np.minimum(na, nb) >= p * np.maximum(na, nb)) & (rest * (100 + p) >= p * both)
         ok &= np.bitwise_count(self.folded[x] ^ self.folded[y]) <= most
@@ -217,7 +231,7 @@ class Meeting:
         out = np.zeros((len(at), w), U)
         for k in range(int(self.wide[at].max()) // w):
             on = np.flatnonzero(self.wide[at] > k * w)
-            out[on] ^= self.rows.bits[self.start[at[on]][:, None] + k * w + np.arange(w)]
+            out[on] ^= self.bits[self.start[at[on]][:, None] + k * w + np.arange(w)]
         return out
 
     def led(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,9 +257,8 @@ class Meeting:
     def pairs(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(earlier, later) of the pairs that may match of rows x and y (ascending): each of y with those of x in its group whose
         first place is before its own, or the same (documents with one id). No pair of a row with itself."""
-        r = self.rows
         rank = np.zeros(len(self.group), np.int64)  # rises where the place does
-        rank[1:] = np.cumsum((np.diff(self.group) != 0) | (np.diff(r.doc) != 0) | (np.diff(r.line) != 0))
+        rank[1:] = np.cumsum((self.group[1:] != self.group[:-1]) | (self.place[1:] != self.place[:-1]))
         lo = np.searchsorted(x, self.first[self.group[y]])
         hi = np.searchsorted(rank[x], rank[y], "right")  # rows, and so their ranks, ascend
         n = np.maximum(0, hi - lo)
@@ -284,7 +297,7 @@ _FOUND = "a long, b long, follows boolean"
 
 
 def first_meeting(m: Meeting) -> Iterator[pa.RecordBatch]:
-    node, names = m.rows.node, ["a", "b", "follows"]
+    node, names = m.node, ["a", "b", "follows"]
     leader, follower, leads = m.led()
     followed = np.bincount(m.group[follower], minlength=len(m.first)) > 0
     heads, behind = np.flatnonzero(leads & followed[m.group]), np.sort(follower)
@@ -292,7 +305,7 @@ def first_meeting(m: Meeting) -> Iterator[pa.RecordBatch]:
     for x, y, follows in found:
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(np.full(len(x), follows))], names)
-    parts = np.unique(node[leads & (m.rows.part > 0)])
+    parts = np.unique(node[leads & (m.part > 0)])
     if len(parts):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(parts), pa.array(np.ones(len(parts), bool))], names)
 
@@ -301,11 +314,11 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
     """A table of bits by hash: set for all of the nodes, and by chance for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, np.int64)
+        bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[filter_bit(batch.column(0).to_numpy())] = 1
-        packed = np.packbits(bits.astype(bool)).reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["slice", "bits"])
+            bits[filter_bit(batch.column(0).to_numpy())] = True
+        packed = np.packbits(bits).reshape(SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["slice", "bits"])
 
     def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
@@ -316,8 +329,8 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["slice", "bits"])
 
-    rows = nodes.mapInArrow(run, "slice int, bits binary").repartition(64, "slice").mapInArrow(either, "slice int, bits binary").collect()
-    out = np.zeros((64, (1 << FILTER_BITS) // 512), np.uint8)
+    rows = nodes.mapInArrow(run, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(either, "slice int, bits binary").collect()
+    out = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
     for k, x in rows:
         out[k] |= np.frombuffer(x, np.uint8)
     return out.reshape(-1)
@@ -333,17 +346,33 @@ def passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFrame:
-    """a, b: all pairs that may match of a node that passes the table (b) and one before it (a); of tokens with one part."""
-    shared = packed.sparkSession.sparkContext.broadcast(table)
+    """a, b: all pairs that may match of a node that passes the table (b) and one before it (a); of tokens with one part. Only rows
+    of tokens that such a node has are dealt out again."""
+    context = packed.sparkSession.sparkContext
+    shared = context.broadcast(table)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                r = Rows.unpack(data.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(r.token[passes(shared.value, r.node)]).view(np.int64))], ["token"])
+
+    tokens = context.broadcast(filter_of(packed.mapInArrow(asked, "token long")))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column(0), batch.column(1), strict=True):
+                r = Rows.unpack(data.as_buffer().to_pybytes())
+                r = r.take(np.flatnonzero((r.part == 0) & passes(tokens.value, r.token.view(np.int64))))
+                if len(r.token):
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()), pa.array([r.pack()], pa.binary())], ["shard", "rows"])
 
     def work(m: Meeting) -> Iterator[pa.RecordBatch]:
-        whole = m.rows.part == 0
-        asked = np.flatnonzero(whole & passes(shared.value, m.rows.node))
-        for x, y in m.pairs(np.flatnonzero(whole), asked):
+        for x, y in m.pairs(np.arange(len(m.group)), np.flatnonzero(passes(shared.value, m.node))):
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(m.rows.node[x]), pa.array(m.rows.node[y])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.node[x]), pa.array(m.node[y])], ["a", "b"])
 
-    return shards_met(packed, percent, work, "a long, b long")
+    return shards_met(packed.mapInArrow(narrowed, _PACKED), percent, work, "a long, b long")
 
 
 def rows_in_parts(packed: DataFrame, percent: int) -> DataFrame:

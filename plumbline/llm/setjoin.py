@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from plumbline.llm.scratch import broadcast_upto, stash
 from plumbline.llm.words import SPACES, U, Words, mix, words, _ODD
 
 BITS = 20
-SLICES = 64
+SLICES = 16
 #: Rows of a token that stay together at least, and as a multiple of the mean count; see salts.
 HUB_ROWS, HUB_MEANS = 50_000, 8
 #: Signatures that a task remembers, to pass on equal sets once.
@@ -69,13 +70,13 @@ class Sets:
 
 
 def distinct(item: np.ndarray, token: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, token): the distinct tokens of each item, sorted."""
-    known, rank = np.unique(token, return_inverse=True)
-    size = max(1, len(known))
-    keys = np.sort(item.astype(np.int64) * size + rank)
-    if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return np.searchsorted(keys, np.arange(n_items + 1, dtype=np.int64) * size), known[keys % size] if len(keys) else token[:0]
+    """(first, token): the distinct tokens of each item, sorted (but for the few last bits that the number of an item takes in the key)."""
+    bits = U(max(1, int(n_items).bit_length()))
+    at = np.argsort(item.astype(U) << (U(64) - bits) | token >> bits)
+    item, token = item[at], token[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (token[1:] != token[:-1]) | (item[1:] != item[:-1])
+    return np.searchsorted(item[new], np.arange(n_items + 1)), token[new]
 
 
 Extract = Callable[[Words], Sets]
@@ -150,11 +151,20 @@ def scan(docs: DataFrame, extract: Extract) -> DataFrame:
                 yield _batch({"doc": batch.column(0).take(at), "rid": batch.column(1).take(at), "line": s.line.astype(np.int32), "n": s.sizes().astype(np.int32), "node": s.nodes(), "slice": none(len(at), pa.int32()), "counts": none(len(at), pa.binary())})
         width = (1 << BITS) // SLICES
         long, small = none(SLICES, pa.int64()), none(SLICES, pa.int32())
-        yield _batch({"doc": long, "rid": long, "line": small, "n": small, "node": long, "slice": np.arange(SLICES, dtype=np.int32), "counts": pa.array([counters[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())})
+        yield _batch({"doc": long, "rid": long, "line": small, "n": small, "node": long, "slice": np.arange(SLICES, dtype=np.int32), "counts": pa.array([packed(counters[i * width : (i + 1) * width]) for i in range(SLICES)], pa.binary())})
 
     return docs.mapInArrow(run, _ITEMS)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes, those of one significance together, so that small ones compress."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
 def total_counts(slices: DataFrame) -> np.ndarray:
     """The sum of all tasks' counters, 2**BITS numbers. Slices are summed where they meet; the driver gets SLICES rows."""
 
@@ -162,16 +172,16 @@ def total_counts(slices: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.int64)
-                sums[k] = sums[k] + x if k in sums else x.copy()
+                x = unpacked(x.as_buffer().to_pybytes())
+                sums[k] = sums[k] + x if k in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(x) for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     rows = slices.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
     width = (1 << BITS) // SLICES
     out = np.zeros(1 << BITS, np.int64)
     for k, x in rows:
-        out[k * width : (k + 1) * width] += np.frombuffer(x, np.int64)
+        out[k * width : (k + 1) * width] += unpacked(bytes(x))
     return out
 
 
