@@ -20,7 +20,7 @@ parts count as unsettled followers, and meet the rows of all parts in a join tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -36,7 +36,7 @@ from plumbline.llm.words import SPACES, U, mix, words
 #: Sizes up to which a bitmap has 1, 2, 4, 8 words; those above have 16.
 WIDTHS = (96, 192, 384, 768)
 #: Rows that a task gathers before it packs them, and tokens of the corpus for which there is a shard.
-GATHERED, SHARD_TOKENS = 400_000, 4_000_000
+GATHERED, SHARD_TOKENS = 200_000, 4_000_000
 #: Pairs that are filtered at once.
 AT_ONCE = 1 << 20
 #: Bits of the table of unsettled nodes that goes to the tasks; what it lets through in error is dropped by a join.
@@ -310,13 +310,14 @@ def first_meeting(m: Meeting) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(parts), pa.array(np.ones(len(parts), bool))], names)
 
 
-def filter_of(nodes: DataFrame) -> np.ndarray:
-    """A table of bits by hash: set for all of the nodes, and by chance for others."""
+def filter_of(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """A table of bits by hash: set for all of the keys (long) of the batches of df, and by chance for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[filter_bit(batch.column(0).to_numpy())] = True
+            for x in keys(batch):
+                bits[filter_bit(x)] = True
         packed = np.packbits(bits).reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["slice", "bits"])
 
@@ -329,7 +330,7 @@ def filter_of(nodes: DataFrame) -> np.ndarray:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["slice", "bits"])
 
-    rows = nodes.mapInArrow(run, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(either, "slice int, bits binary").collect()
+    rows = df.mapInArrow(run, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(either, "slice int, bits binary").collect()
     out = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
     for k, x in rows:
         out[k] |= np.frombuffer(x, np.uint8)
@@ -351,13 +352,12 @@ def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFr
     context = packed.sparkSession.sparkContext
     shared = context.broadcast(table)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(1):
-                r = Rows.unpack(data.as_buffer().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(r.token[passes(shared.value, r.node)]).view(np.int64))], ["token"])
+    def asked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for data in batch.column(1):
+            r = Rows.unpack(data.as_buffer().to_pybytes())
+            yield r.token[passes(shared.value, r.node)].view(np.int64)
 
-    tokens = context.broadcast(filter_of(packed.mapInArrow(asked, "token long")))
+    tokens = context.broadcast(filter_of(packed, asked))
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,7 +423,7 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
     open_ = stash(found.filter("follows").select(F.col("b").alias("node")).distinct().join(settled, "node", "left_anti"), "open")
     if open_.isEmpty():
         return Matches(items, firsts, settled)
-    more = second_meeting(packed, percent, filter_of(open_))
+    more = second_meeting(packed, percent, filter_of(open_, lambda batch: iter([batch.column(0).to_numpy()])))
     if int(order.salts.max()) > 1:
         rows = stash(rows_in_parts(packed, percent), "rows-in-parts")
         x, y = rows.alias("x"), rows.join(open_, "node", "left_semi").alias("y")
