@@ -145,13 +145,9 @@ def postings(docs: DataFrame, extract: Extract, order: Order, percent: int, shar
                 fresh &= n > 0
                 if not fresh.any():
                     continue
-                item = np.repeat(np.arange(len(n)), n)
-                level = o.level[(s.token >> U(64 - BITS)).astype(np.int64)]
-                # Tokens of an item are sorted by hash, so a stable sort by (item, level) is the order.
-                at = np.argsort(item * 256 + level, kind="stable")
-                place = np.arange(len(at)) - s.first[item[at]]
-                keep = (place < prefix_length(n, percent)[item[at]]) & fresh[item[at]]
-                at, place, item = at[keep], place[keep], item[at][keep]
+                item, at, place = in_order(s, o.level, fresh)
+                keep = place < prefix_length(n, percent)[item]
+                at, place, item = at[keep], place[keep], item[keep]
                 token = s.token[at]
                 salts = o.salts[(token >> U(64 - BITS)).astype(np.int64)]
                 part = np.where(salts > 1, 1 + (mix(node[item].view(U)) % salts.astype(U)).astype(np.int64), 0).astype(np.int32)
@@ -170,6 +166,18 @@ def postings(docs: DataFrame, extract: Extract, order: Order, percent: int, shar
     return docs.mapInArrow(run, _PACKED)
 
 
+def in_order(s: Sets, level: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, at, place): the tokens of the wanted items in the order, which is by level and then by hash, as tokens of an item stand."""
+    n = s.sizes()
+    own = np.flatnonzero(np.repeat(wanted, n))
+    item = np.repeat(np.flatnonzero(wanted), n[wanted])
+    # The place goes along in the lowest bits, as sorting is much faster than finding an order.
+    bits = max(1, len(s.token).bit_length())
+    key = np.sort((item << 8 | level[(s.token[own] >> U(64 - BITS)).astype(np.int64)]) << bits | own)
+    at = key & ((1 << bits) - 1)
+    return item, at, np.arange(len(at)) - np.repeat(np.cumsum(n[wanted]) - n[wanted], n[wanted])
+
+
 def shard_of(token: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
     return (mix(token + part.astype(U)) % U(shards)).astype(np.int64)
 
@@ -198,10 +206,12 @@ class Meeting:
         many = np.diff(np.append(np.flatnonzero(edges()), len(at)))
         at = at[np.repeat(many > 1, many) | (rows.part[at] > 0)]
         group, place = np.cumsum(edges()), places(rows.doc[at], rows.line[at])
-        order = np.lexsort((place, group))
+        low, most = (int(place.min()), int(place.max()) - int(place.min()) + 1) if len(at) else (0, 1)
+        order = np.argsort(group * most + (place - low)) if len(at) * most < 1 << 62 else np.lexsort((place, group))
         at, group, place = at[order], group[order], place[order]
-        _, once = np.unique(mix(rows.node[at].view(U) + mix(group.astype(U))), return_index=True)
-        once.sort()
+        same = mix(rows.node[at].view(U) + mix(group.astype(U)))
+        order = np.argsort(same)
+        once = np.sort(np.minimum.reduceat(order, np.flatnonzero(np.append(True, same[order[1:]] != same[order[:-1]])))) if len(at) else order
         at, self.place = at[once], place[once]
         new = edges()
         self.percent, self.first, self.group = percent, np.append(np.flatnonzero(new), len(at)), np.cumsum(new) - 1
@@ -212,18 +222,21 @@ class Meeting:
 
     def may_match(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length, positional and bitmap filter of rows of one token, which counts as the first common one."""
-        p, na, nb = self.percent, self.size[x], self.size[y]
+        ok, p, na, nb = np.zeros(len(x), bool), self.percent, self.size[x], self.size[y]
+        at = np.flatnonzero(100 * np.minimum(na, nb) >= p * np.maximum(na, nb))
+        x, y, na, nb = x[at], y[at], na[at], nb[at]
         both = na + nb
         rest = np.minimum(na - self.rank[x], nb - self.rank[y])
         most = both - 2 * -(-p * both // (100 + p))
-        ok = (100 * np.minimum(na, nb) >= p * np.maximum(na, nb)) & (rest * (100 + p) >= p * both)
-        ok &= np.bitwise_count(self.folded[x] ^ self.folded[y]) <= most
+        near = np.flatnonzero((rest * (100 + p) >= p * both) & (np.bitwise_count(self.folded[x] ^ self.folded[y]) <= most))
+        at, x, y, most = at[near], x[near], y[near], most[near]
+        fine = np.ones(len(at), bool)
         wide = np.minimum(self.wide[x], self.wide[y])
         for w in (2, 4, 8, 16):
-            at = np.flatnonzero(ok & (wide == w))
-            if len(at):
-                differ = np.bitwise_count(self.of_width(x[at], w) ^ self.of_width(y[at], w)).sum(1, dtype=np.int64)
-                ok[at] = differ <= most[at]
+            k = np.flatnonzero(wide == w)
+            if len(k):
+                fine[k] = np.bitwise_count(self.of_width(x[k], w) ^ self.of_width(y[k], w)).sum(1, dtype=np.int64) <= most[k]
+        ok[at[fine]] = True
         return ok
 
     def of_width(self, at: np.ndarray, w: int) -> np.ndarray:

@@ -20,9 +20,22 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows and bytes of a batch that goes to Python at most. Spark's own 10,000 whole texts take much memory beside an executor's heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python from now on, unless the application was given bounds of its own."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, str(most))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{folder(spark)}/plumbline-scratch/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
