@@ -48,8 +48,6 @@ def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     padded[np.arange(len(buf)) + np.repeat(at, n)] = _CLASS[buf]
     text = np.repeat(at, n + 1)
     x = padded.astype(np.int64)
-    if len(x) < 3:
-        return text[:0], x[:0], x[:0]
     code = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
     # A trigram starts and ends in one text (its end may be the space after it), and its middle is no space.
     keep = (x[1:-1] != 0x20) & (text[:-2] == text[2:])

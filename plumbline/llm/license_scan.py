@@ -1,7 +1,7 @@
 """License scans: an exact containment join of blocks of text with license templates.
 
-Blocks are windows of 48 words, one every 24 words, so that any notice of up to 25 words lies in one. A block meets a template
-when it holds at least 80 % of the template's distinct words. Tokens are put in order by the number of blocks of the whole corpus
+Blocks are windows of 48 words, one every 24 words, so that any notice of up to 25 words lies in one; longer templates have blocks of
+their own, as much larger as they need. A block meets a template when it holds at least 80 % of the template's distinct words. Tokens are put in order by the number of blocks of the whole corpus
 that hold them, rare first. Only words of templates can be common to a block and a template, so blocks are cut to those (exact).
 A block can meet a template only if it holds one of its first n - need + 1 words in that order (prefix filter), has need such
 words at all (length filter), and has enough words left from the first common one on (positional filter); those that pass are
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.words import NOT_ALNUM, U, Words, words
 
-BLOCK, STEP, PERCENT = 48, 24, 80
+#: A block starts every STEP words, or a doubling of that for longer templates, and is twice as long.
+STEP, PERCENT = 24, 80
 
 #: Base phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -54,16 +55,24 @@ def _hashes(text: str) -> np.ndarray:
     return Words(raw, np.array([0, len(raw)]), NOT_ALNUM).hashes()
 
 
-def blocks_of(n: int) -> list[tuple[int, int]]:
+def step_of(n: int) -> int:
+    """Between blocks for a template of n words: one that stands in one piece lies in a block, wherever it starts."""
+    step = STEP
+    while step + 1 < n:
+        step *= 2
+    return step
+
+
+def blocks_of(n: int, step: int = STEP) -> list[tuple[int, int]]:
     """Words from, to of the blocks of a text of n words."""
-    return [(k, min(n, k + BLOCK)) for k in range(0, max(1, n - BLOCK + STEP), STEP)] if n else []
+    return [(k, min(n, k + 2 * step)) for k in range(0, max(1, n - step), step)] if n else []
 
 
 class Index:
-    """Templates as sets of word numbers (their places in the order), and the inverted index of their prefixes."""
+    """Templates as sets of word numbers (their places in the order), and the inverted index of their prefixes. All have blocks of one size."""
 
-    def __init__(self, templates: list[tuple[str, str]], percent: int = PERCENT):
-        self.labels = [x for x, _ in templates]
+    def __init__(self, templates: list[tuple[str, str]], step: int, percent: int = PERCENT):
+        self.step, self.block = step, 2 * step
         sets = [np.unique(_hashes(x)) for _, x in templates]
         self.vocabulary = np.unique(np.concatenate(sets))
         self.maybe = np.zeros(1 << 16, bool)
@@ -107,6 +116,23 @@ class Index:
         return out
 
 
+    def found(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, template, from word, to word, containment) of the blocks of texts that meet templates. h: the words' hashes; first: where texts start."""
+        at, number = self.known(h)
+        place = self.place[number]
+        hot = at[self.starts[place]]
+        for d in np.unique(np.searchsorted(first, hot, "right") - 1).tolist():
+            a, b = first[d], first[d + 1]
+            i, j = np.searchsorted(at, [a, b])
+            inside, which = at[i:j] - a, place[i:j]
+            last = max(0, -(-(int(b - a) - self.block) // self.step))
+            step = np.minimum(inside[self.starts[which]] // self.step, last)
+            for k in (np.unique(np.concatenate([step, np.maximum(step - 1, 0)])) * self.step).tolist():
+                x, y = np.searchsorted(inside, [k, k + self.block])
+                for t, c in self.matches(np.unique(which[x:y]).tolist()):
+                    yield d, t, k, min(int(b - a), k + self.block), c
+
+
 def count_words(docs: DataFrame, index: Index) -> np.ndarray:
     """In how many blocks of the corpus each word of the vocabulary stands; a task sends one row a word at most."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -120,10 +146,10 @@ def count_words(docs: DataFrame, index: Index) -> np.ndarray:
                 text = np.searchsorted(w.first, at, "right") - 1
                 inside, last = at - w.first[text], np.diff(w.first)[text]
                 # A word stands in the block that starts at its step, and in the one before.
-                most = np.maximum(0, -(-(last - BLOCK) // STEP))
-                step = np.minimum(inside // STEP, most)
+                most = np.maximum(0, -(-(last - ix.block) // ix.step))
+                step = np.minimum(inside // ix.step, most)
                 own = (text * np.int64(1 << 32) + step) * size + number
-                before = own[(step > 0) & (inside < (step - 1) * STEP + BLOCK)] - size
+                before = own[(step > 0) & (inside < (step - 1) * ix.step + ix.block)] - size
                 sums += np.bincount(np.unique(np.concatenate([own, before])) % size, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(sums)], ["word", "n"])
 
@@ -137,13 +163,17 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment; 1 with a base phrase), and
     found: (template, from_word, to_word, containment) of every block that meets a template."""
     own = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    index = Index(templates)
-    index.order(count_words(own, index))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    sizes: dict[int, list[int]] = {}
+    for t, (_, x) in enumerate(templates):
+        if len(_hashes(x)):
+            sizes.setdefault(step_of(len(_hashes(x))), []).append(t)
+    indexes = [(numbers, Index([templates[t] for t in numbers], step)) for step, numbers in sorted(sizes.items())]
+    for _, index in indexes:
+        index.order(count_words(own, index))
+    shared = docs.sparkSession.sparkContext.broadcast(indexes)
     phrases = [(_hashes(x), x.encode(), label) for x, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
         kind = pa.list_(pa.struct([("template", pa.int32()), ("from_word", pa.int64()), ("to_word", pa.int64()), ("containment", pa.float64())]))
         for batch in batches:
             for lo, hi, w in words(batch.column(0), NOT_ALNUM):
@@ -157,23 +187,12 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
                     for k, d in zip(at.tolist(), (np.searchsorted(w.first, at, "right") - 1).tolist(), strict=True):
                         if k + m <= w.first[d + 1] and w.bytes_of(k, k + m) == raw:
                             places[d].append((k - int(w.first[d]), label))
-                at, number = ix.known(h)
-                place = ix.place[number]
                 found: list[list[tuple[int, int, int, float]]] = [[] for _ in n]
-                hot = at[ix.starts[place]]
-                for d in np.unique(np.searchsorted(w.first, hot, "right") - 1).tolist():
-                    a, b = w.first[d], w.first[d + 1]
-                    i, j = np.searchsorted(at, [a, b])
-                    inside, which = at[i:j] - a, place[i:j]
-                    starts = inside[ix.starts[which]]
-                    last = max(0, -(-(int(b - a) - BLOCK) // STEP))
-                    step = np.minimum(starts // STEP, last)
-                    for k in np.unique(np.concatenate([step, np.maximum(step - 1, 0)])).tolist():
-                        x, y = np.searchsorted(inside, [k * STEP, k * STEP + BLOCK])
-                        for t, c in ix.matches(np.unique(which[x:y]).tolist()):
-                            found[d].append((t, k * STEP, min(int(b - a), k * STEP + BLOCK), c))
+                for numbers, ix in shared.value:
+                    for d, t, k, end, c in ix.found(h, w.first):
+                        found[d].append((numbers[t], k, end, c))
                 base = [sorted({x for _, x in p}) for p in places]
-                every = [sorted({*b, *(ix.labels[t] for t, *_ in f)}) for b, f in zip(base, found, strict=True)]
+                every = [sorted({*b, *(templates[t][0] for t, *_ in f)}) for b, f in zip(base, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([len(p) for p in places], pa.int64()),
                     pa.array([min((k for k, _ in p), default=None) for p in places], pa.int64()), pa.array([max((k for k, _ in p), default=None) for p in places], pa.int64()),
@@ -190,15 +209,16 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs).drop("found")
 
 
-def brute_force(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
+def brute_force(text: str | None, templates: list[tuple[str, str]] = TEMPLATES) -> tuple[int, int, int | None, int | None, str, str, float]:
     """A row of report without its id: every block compared with every template; for tests."""
     split = lambda x: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").encode().lower())
     w = split(text)
     places = [(k, label) for x, label in PHRASES.items() for k in range(len(w)) if w[k : k + len(p := split(x))] == p]
     best, labels = 0.0, {x for _, x in places}
-    for a, b in blocks_of(len(w)):
-        for label, t in TEMPLATES:
-            c = len(set(w[a:b]) & set(split(t))) / len(set(split(t)))
+    for label, t in templates:
+        own = split(t)
+        for a, b in blocks_of(len(w), step_of(len(own))):
+            c = len(set(w[a:b]) & set(own)) / len(set(own))
             if 100 * c >= PERCENT - 1e-9:
                 best, labels = max(best, c), labels | {label}
     starts = [k for k, _ in places]

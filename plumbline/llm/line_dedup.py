@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.earlier import matches
 from plumbline.llm.scratch import stash
+
+#: Removed lines (4 bytes each, and 8 a document) up to which they are broadcast, so that texts need no shuffle; more are joined by shuffling.
+BROADCAST_LINES = 2_000_000
 from plumbline.llm.setjoin import line_sets, with_identity
 
 
@@ -27,12 +30,17 @@ def removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", perc
     return later.distinct().groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
+def _joined(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    n = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(gone) if n <= BROADCAST_LINES else gone, "rid", "left")
+
+
 def report(docs: DataFrame, *, hub_rows: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (numbers from 0, comma-joined) of each document."""
     gone = stash(removed(docs, hub_rows=hub_rows), "removed-lines")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), lines.alias("n_lines"))
-    out = own.join(gone, "rid", "left")
+    out = _joined(own, gone)
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
@@ -42,7 +50,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     own = docs.toDF(*[f"c{k}" for k in range(len(names))])
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     gone = stash(removed(own, doc_id=i, text=t), "removed-lines")
-    rows = own.withColumn("rid", F.xxhash64(i, t)).join(gone, "rid", "left")
+    rows = _joined(own.withColumn("rid", F.xxhash64(i, t)), gone)
     lines = F.split(t, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     left = F.when(F.col("removed").isNull(), F.col(t)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import setjoin
-from plumbline.llm.scratch import stash
+from plumbline.llm.scratch import broadcast_upto, stash
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -39,9 +39,13 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = join(own, doc_id=i, text=t)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     first = found.groupBy("comp", F.col("n_shingles") > 0).agg(least.alias("m")).select(F.col("m.rid").alias("rid"))
-    rows = own.withColumn("rid", F.xxhash64(i, t)).join(stash(first, "first"), "rid", "left_semi")
-    once = rows.dropDuplicates(["rid"])
-    return once.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(names)])
+    # Of rows that are repeated (and only those) one stays.
+    repeated = found.groupBy("rid").agg(F.count("*").alias("copies")).filter("copies > 1")
+    first = stash(first.join(repeated, "rid", "left"), "first")
+    rows = own.withColumn("rid", F.xxhash64(i, t)).join(broadcast_upto(first, setjoin.BROADCAST_IDS), "rid")
+    if not first.filter("copies is not null").isEmpty():
+        rows = rows.filter("copies is null").unionByName(rows.filter("copies is not null").dropDuplicates(["rid"]))
+    return rows.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(names)])
 
 
 #: For small tables: all pairs with a common shingle.

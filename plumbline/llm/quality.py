@@ -5,7 +5,8 @@ DataFrame functions only. Features are array expressions over one row, so that n
 over the corpus are vote patterns, at most 3 to the number of rules.
 
 Defined results: null and empty texts have no words and lines and zero features (and so fail the base rule); repeated rows get
-equal results each; extra columns are left alone; an empty table gives an empty one (the accuracies are then the first guesses).
+equal results each; columns of the documents named as one of the results are replaced by features and judged, and kept by keep_good;
+other extra columns are left alone; an empty table gives an empty one (the accuracies are then the first guesses).
 """
 
 from __future__ import annotations

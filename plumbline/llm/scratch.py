@@ -32,15 +32,27 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Paths of the tables written by this process, in order.
+made: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{folder(spark)}/plumbline-scratch/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes these tables, which nothing may read any more."""
+    for x in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables. Call it when no DataFrame of ours is used any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/plumbline-scratch/{spark.sparkContext.applicationId}")
