@@ -138,11 +138,13 @@ def postings(docs: DataFrame, extract: Extract, order: Order, percent: int, shar
                 if len(seen) > SEEN:
                     seen.clear()
                 fresh = np.zeros(len(node), bool)
-                for i, (x, place) in enumerate(zip(node.tolist(), zip(doc.tolist(), s.line.tolist(), strict=True), strict=True)):
-                    if place < seen.get(x, (1 << 64, 0)):
+                # Of a piece's equal sets the first by place, and that only if none before it was met.
+                at = np.lexsort((s.line, doc, node))
+                at = at[np.append(True, node[at[1:]] != node[at[:-1]]) & (n[at] > 0)]
+                for i, x, place in zip(at.tolist(), node[at].tolist(), zip(doc[at].tolist(), s.line[at].tolist(), strict=True), strict=True):
+                    if x not in seen or place < seen[x]:
                         seen[x] = place
                         fresh[i] = True
-                fresh &= n > 0
                 if not fresh.any():
                     continue
                 item, at, place = in_order(s, o.level, fresh)
@@ -405,7 +407,7 @@ def rows_in_parts(packed: DataFrame, percent: int) -> DataFrame:
 
 @dataclass
 class Matches:
-    """items: doc, rid, line, n, node. firsts: node and its first place (doc, rid, line). later: the nodes that have a similar one before them."""
+    """items: doc, rid, line, n, node. firsts: node, its first place (doc, rid, line), and how many copies there are. later: the nodes that have a similar one before them."""
 
     items: DataFrame
     firsts: DataFrame
@@ -419,7 +421,7 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
     items = every.filter("slice is null").select("doc", "rid", "line", "n", "node")
     counts = total_counts(every.filter("slice is not null").select("slice", "counts"))
     order = Order.of(counts) if hub_rows is None else Order.of(counts, hub_rows)
-    firsts = stash(items.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "rid", "line")).alias("place")), "first-places")
+    firsts = stash(items.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "rid", "line")).alias("place"), F.count("*").alias("copies")), "first-places")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // SHARD_TOKENS)
     packed = stash(postings(docs, extract, order, percent, shards), "postings")
 
@@ -437,7 +439,7 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
     if open_.isEmpty():
         return Matches(items, firsts, settled)
     more = second_meeting(packed, percent, filter_of(open_, lambda batch: iter([batch.column(0).to_numpy()])))
-    if int(order.salts.max()) > 1:
+    if not found.filter("a is null").isEmpty():
         rows = stash(rows_in_parts(packed, percent), "rows-in-parts")
         x, y = rows.alias("x"), rows.join(open_, "node", "left_semi").alias("y")
         more = more.unionByName(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & could_match("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))

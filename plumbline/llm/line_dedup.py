@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.earlier import matches
-from plumbline.llm.scratch import stash
+from plumbline.llm.scratch import broadcast_upto, stash
 
+#: Sets that stand twice or have a match up to which they are broadcast; more are joined by shuffling.
+BROADCAST_NODES = 500_000
 #: Removed lines (4 bytes each, and 8 a document) up to which they are broadcast, so that texts need no shuffle; more are joined by shuffling.
 BROADCAST_LINES = 2_000_000
 from plumbline.llm.setjoin import line_sets, with_identity
@@ -25,8 +27,8 @@ from plumbline.llm.setjoin import line_sets, with_identity
 def removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, hub_rows: int | None = None) -> DataFrame:
     """rid and the numbers (from 0) of the lines to remove, for documents that have some."""
     m = matches(with_identity(docs, doc_id, text), line_sets(), percent=percent, hub_rows=hub_rows)
-    nodes = m.firsts.join(m.later.withColumn("similar", F.lit(True)), "node", "left")
-    later = m.items.join(nodes, "node").filter("similar or rid <> place.rid or line <> place.line").select("rid", "line")
+    nodes = m.firsts.join(m.later.withColumn("similar", F.lit(True)), "node", "left").filter("copies > 1 or similar")
+    later = m.items.join(broadcast_upto(stash(nodes, "nodes-with-matches"), BROADCAST_NODES), "node").filter("similar or rid <> place.rid or line <> place.line").select("rid", "line")
     return later.distinct().groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
