@@ -36,7 +36,7 @@ from plumbline.llm.words import SPACES, U, mix, words
 #: Sizes up to which a bitmap has 1, 2, 4, 8 words; those above have 16.
 WIDTHS = (96, 192, 384, 768)
 #: Rows that a task gathers before it packs them, and tokens of the corpus for which there is a shard.
-GATHERED, SHARD_TOKENS = 200_000, 4_000_000
+GATHERED, SHARD_TOKENS = 200_000, 1_000_000
 #: Pairs that are filtered at once.
 AT_ONCE = 1 << 20
 #: Bits of the table of unsettled nodes that goes to the tasks; what it lets through in error is dropped by a join.

@@ -21,7 +21,7 @@ def folder(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of a batch that goes to Python at most. Spark's own 10,000 whole texts take much memory beside an executor's heap.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

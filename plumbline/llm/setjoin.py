@@ -43,7 +43,7 @@ SLICES = 16
 #: Rows of a token that stay together at least, and as a multiple of the mean count; see salts.
 HUB_ROWS, HUB_MEANS = 50_000, 8
 #: Signatures that a task remembers, to pass on equal sets once.
-SEEN = 300_000
+SEEN = 50_000
 #: Ids of texts to fetch up to which they are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 #: Cross-component pairs that are filtered at once without trying hubs first, as a multiple of the rows they come from.

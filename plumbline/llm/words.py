@@ -7,6 +7,8 @@ one with a chance of about 2**-64).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+
+
+def _give_back() -> None:
+    """Has large blocks of memory mapped by themselves, so that they go back to the system when freed, whatever lies around them."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
+_give_back()
 #: Text handled at once, in bytes; a longer text is handled alone.
 PIECE = 1 << 17
 
