@@ -423,7 +423,7 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
     order = Order.of(counts) if hub_rows is None else Order.of(counts, hub_rows)
     firsts = stash(items.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "rid", "line")).alias("place"), F.count("*").alias("copies")), "first-places")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // SHARD_TOKENS)
-    packed = stash(postings(docs, extract, order, percent, shards), "postings")
+    packed = stash(postings(docs, extract, order, percent, shards), "postings", packed=True)
 
     def in_order(pairs: DataFrame) -> DataFrame:
         """a, b: each pair once, the earlier one first."""

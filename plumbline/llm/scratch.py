@@ -36,12 +36,16 @@ def small_batches(spark: SparkSession) -> None:
 made: list[str] = []
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
+def stash(df: DataFrame, name: str, *, packed: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives the loss of executors.
+
+    packed: its values are packed or random bytes, so that they aren't compressed again (for which whole pages, and thus many large
+    values, would be held outside of the heap).
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{folder(spark)}/plumbline-scratch/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="uncompressed" if packed else None)
     made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -456,7 +456,7 @@ def linked(docs: DataFrame, extract: Extract, items: DataFrame, pairs: DataFrame
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rows = items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
     wanted = stash(rows.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
-    sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets")
+    sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets", packed=True)
     return stash(verified(pairs, sets, percent).distinct(), "links")
 
 
