@@ -29,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import stash
-from plumbline.llm.setjoin import BITS, SEEN, SLICES, Extract, Order, Sets, could_match, linked, prefix_length, scan, total_counts
+from plumbline.llm.scratch import broadcast_upto, stash
+from plumbline.llm.setjoin import BITS, BROADCAST_IDS, SEEN, SLICES, Extract, Order, Sets, could_match, linked, prefix_length, scan, total_counts
 from plumbline.llm.words import SPACES, U, mix, words
 
 #: Sizes up to which a bitmap has 1, 2, 4, 8 words; those above have 16.
@@ -427,8 +427,11 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
 
     def in_order(pairs: DataFrame) -> DataFrame:
         """a, b: each pair once, the earlier one first."""
-        of = lambda x: firsts.select(F.col("node").alias(x), F.col("place").alias(f"{x}_place"))
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
+        pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        nodes = stash(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pairs-nodes")
+        placed = stash(firsts.join(broadcast_upto(nodes, BROADCAST_IDS), "node", "left_semi"), "places")
+        of = lambda x: placed.select(F.col("node").alias(x), F.col("place").alias(f"{x}_place"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
         swap = F.col("a_place") > F.col("b_place")
         return both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 

@@ -454,7 +454,8 @@ class Found:
 def linked(docs: DataFrame, extract: Extract, items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough, each once."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = items.groupBy("node").agg(F.min("rid").alias("rid")).join(nodes, "node", "left_semi")
+    few = broadcast_upto(stash(nodes, "wanted-nodes"), BROADCAST_IDS)
+    rows = items.join(few, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
     wanted = stash(rows.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
     sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets", packed=True)
     return stash(verified(pairs, sets, percent).distinct(), "links")
