@@ -361,16 +361,24 @@ def passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+def graded(size: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes by steps, as wide as sizes of similar sets may differ."""
+    return np.floor(np.log(size) / np.log(max(1.01, 100 / percent))).astype(np.int64)
+
+
 def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFrame:
     """a, b: all pairs that may match of a node that passes the table (b) and one before it (a); of tokens with one part. Only rows
-    of tokens that such a node has are dealt out again."""
+    of tokens that such a node has, and of about its size, are dealt out again."""
     context = packed.sparkSession.sparkContext
     shared = context.broadcast(table)
 
     def asked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for data in batch.column(1):
             r = Rows.unpack(data.as_buffer().to_pybytes())
-            yield r.token[passes(shared.value, r.node)].view(np.int64)
+            own = passes(shared.value, r.node)
+            token, grade = r.token[own], graded(r.size[own], percent)
+            for k in (-1, 0, 1):  # what is similar differs by one grade at most
+                yield mix(token + (grade + k).astype(U)).view(np.int64)
 
     tokens = context.broadcast(filter_of(packed, asked))
 
@@ -378,7 +386,7 @@ def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFr
         for batch in batches:
             for k, data in zip(batch.column(0), batch.column(1), strict=True):
                 r = Rows.unpack(data.as_buffer().to_pybytes())
-                r = r.take(np.flatnonzero((r.part == 0) & passes(tokens.value, r.token.view(np.int64))))
+                r = r.take(np.flatnonzero((r.part == 0) & passes(tokens.value, mix(r.token + graded(r.size, percent).astype(U)).view(np.int64))))
                 if len(r.token):
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()), pa.array([r.pack()], pa.binary())], ["shard", "rows"])
 
