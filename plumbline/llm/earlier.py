@@ -363,7 +363,7 @@ def passes(table: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 def graded(size: np.ndarray, percent: int) -> np.ndarray:
     """Sizes by steps, as wide as sizes of similar sets may differ."""
-    return np.floor(np.log(size) / np.log(max(1.01, 100 / percent))).astype(np.int64)
+    return np.floor(np.log(size) / np.log(max(1.01, 100 / percent) * (1 + 1e-9))).astype(np.int64)
 
 
 def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFrame:
