@@ -53,10 +53,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     gone = stash(removed(own, doc_id=i, text=t), "removed-lines")
     rows = _joined(own.withColumn("rid", F.xxhash64(i, t)), gone)
-    lines = F.split(t, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    left = F.when(F.col("removed").isNull(), F.col(t)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
-    rows = rows.withColumn("left", left).filter("removed is null or left rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    # Variables of lambdas are values, whereas a column would be split anew for each line, and once more by a filter on the result.
+    without = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "removed"), lambda k: F.get(x, k)), "\n")
+    left = F.filter(F.transform(F.array(F.split(t, "\n")), without), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    rows = rows.withColumn("left", F.explode(F.when(F.col("removed").isNull(), F.array(t)).otherwise(left)))
     return rows.select(*[F.col("left" if f"c{k}" == t else f"c{k}").alias(x) for k, x in enumerate(names)])
 
 
