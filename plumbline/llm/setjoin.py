@@ -142,9 +142,11 @@ def scan(docs: DataFrame, extract: Extract) -> DataFrame:
         for batch in batches:
             for lo, _, w in words(batch.column(2), SPACES):
                 s = extract(w)
-                counters += np.bincount((s.token >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS) if len(s.token) > 1 << 14 else 0
-                if len(s.token) <= 1 << 14:
-                    np.add.at(counters, (s.token >> U(64 - BITS)).astype(np.int64), 1)
+                at = (s.token >> U(64 - BITS)).astype(np.int64)
+                if len(at) > 1 << BITS:
+                    counters += np.bincount(at, minlength=1 << BITS)
+                else:  # a table of its own for each piece costs more than the piece
+                    np.add.at(counters, at, 1)
                 if not len(s.row):
                     continue
                 at = pa.array(s.row + lo)
