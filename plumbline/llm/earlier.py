@@ -86,9 +86,11 @@ class Rows:
         bits = self.bits[np.repeat(first - own[:-1], w) + np.arange(own[-1])]
         return Rows(*(getattr(self, f.name)[at] for f in fields(self)[:-1]), bits)
 
-    def slice(self, a: int, b: int) -> Rows:
-        first = self.starts()
-        return Rows(*(getattr(self, f.name)[a:b] for f in fields(self)[:-1]), self.bits[first[a] : first[b]])
+    def cut(self, at: np.ndarray) -> Iterator[Rows]:
+        """The rows from each of these places to the next, or to the end."""
+        first, ends = self.starts(), [*at[1:], len(self.token)]
+        for a, b in zip(at, ends, strict=True):
+            yield Rows(*(getattr(self, f.name)[a:b] for f in fields(self)[:-1]), self.bits[first[a] : first[b]])
 
     def pack(self) -> bytes:
         kinds = [np.diff(self.token, prepend=U(0)), *(getattr(self, f.name) for f in fields(self)[1:])]
@@ -125,7 +127,7 @@ def postings(docs: DataFrame, extract: Extract, order: Order, percent: int, shar
             at = np.lexsort((rows.token, shard))
             rows = rows.take(at)
             known, first = np.unique(shard[at], return_index=True)
-            out = [rows.slice(a, b).pack() for a, b in zip(first, [*first[1:], len(at)], strict=True)]
+            out = [x.pack() for x in rows.cut(first)]
             return pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(out, pa.binary())], ["shard", "rows"])
 
         for batch in batches:
