@@ -183,7 +183,8 @@ def in_order(s: Sets, level: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray
 
 
 def shard_of(token: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(token + part.astype(U)) % U(shards)).astype(np.int64)
+    """Tokens with one part have the shards below this number, all others those above."""
+    return (mix(token + part.astype(U)) % U(shards)).astype(np.int64) + shards * (part > 0)
 
 
 def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -369,8 +370,8 @@ def graded(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFrame:
-    """a, b: all pairs that may match of a node that passes the table (b) and one before it (a); of tokens with one part. Only rows
-    of tokens that such a node has, and of about its size, are dealt out again."""
+    """packed: rows of tokens with one part. a, b: all pairs that may match of a node that passes the table (b) and one before it (a).
+    Only rows of tokens that such a node has, and of about its size, are dealt out again."""
     context = packed.sparkSession.sparkContext
     shared = context.broadcast(table)
 
@@ -388,7 +389,7 @@ def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFr
         for batch in batches:
             for k, data in zip(batch.column(0), batch.column(1), strict=True):
                 r = Rows.unpack(data.as_buffer().to_pybytes())
-                r = r.take(np.flatnonzero((r.part == 0) & passes(tokens.value, mix(r.token + graded(r.size, percent).astype(U)).view(np.int64))))
+                r = r.take(np.flatnonzero(passes(tokens.value, mix(r.token + graded(r.size, percent).astype(U)).view(np.int64))))
                 if len(r.token):
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()), pa.array([r.pack()], pa.binary())], ["shard", "rows"])
 
@@ -400,14 +401,13 @@ def second_meeting(packed: DataFrame, percent: int, table: np.ndarray) -> DataFr
     return shards_met(packed.mapInArrow(narrowed, _PACKED), percent, work, "a long, b long")
 
 
-def rows_in_parts(packed: DataFrame, percent: int) -> DataFrame:
-    """token, node, np (size << 32 | place), bits (64 of them) of the rows of tokens with several parts."""
+def rows_in_parts(packed: DataFrame) -> DataFrame:
+    """packed: rows of tokens with several parts. token, node, np (size << 32 | place), bits (64 of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(1):
                 r = Rows.unpack(data.as_buffer().to_pybytes())
-                r = r.take(np.flatnonzero(r.part > 0))
                 if len(r.token):
                     bits = np.bitwise_xor.reduceat(r.bits, r.starts()[:-1]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(r.token.view(np.int64)), pa.array(r.node), pa.array(r.size.astype(np.int64) << 32 | r.place), pa.array(bits)], ["token", "node", "np", "bits"])
@@ -451,9 +451,9 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
     open_ = stash(found.filter("follows").select(F.col("b").alias("node")).distinct().join(settled, "node", "left_anti"), "open")
     if open_.isEmpty():
         return Matches(items, firsts, settled)
-    more = second_meeting(packed, percent, filter_of(open_, lambda batch: iter([batch.column(0).to_numpy()])))
+    more = second_meeting(packed.filter(F.col("shard") < shards), percent, filter_of(open_, lambda batch: iter([batch.column(0).to_numpy()])))
     if not found.filter("a is null").isEmpty():
-        rows = stash(rows_in_parts(packed, percent), "rows-in-parts")
+        rows = stash(rows_in_parts(packed.filter(F.col("shard") >= shards)), "rows-in-parts")
         x, y = rows.alias("x"), rows.join(open_, "node", "left_semi").alias("y")
         more = more.unionByName(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & could_match("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     more = in_order(more).join(open_.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b").join(tested, ["a", "b"], "left_anti")
