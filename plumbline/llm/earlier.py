@@ -20,6 +20,7 @@ parts count as unsettled followers, and meet the rows of all parts in a join tha
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import broadcast_upto, stash
+from plumbline.llm.scratch import broadcast_upto, forget, stash
 from plumbline.llm.setjoin import BITS, BROADCAST_IDS, SEEN, SLICES, Extract, Order, Sets, could_match, linked, prefix_length, scan, total_counts
 from plumbline.llm.words import SPACES, U, mix, words
 
@@ -37,6 +38,9 @@ from plumbline.llm.words import SPACES, U, mix, words
 WIDTHS = (96, 192, 384, 768)
 #: Rows that a task gathers before it packs them, and tokens of the corpus for which there is a shard.
 GATHERED, SHARD_TOKENS = 200_000, 1_000_000
+#: Passes of the first meeting at most, and shards of a pass at least. Only the packed rows of one pass are dealt out at a time, so that
+#: not all of them lie twice on disk.
+PASSES, PASS_SHARDS = 3, 12
 #: Pairs that are filtered at once.
 AT_ONCE = 1 << 20
 #: Bits of the table of unsettled nodes that goes to the tasks; what it lets through in error is dropped by a join.
@@ -291,8 +295,8 @@ class Meeting:
             a = b
 
 
-def shards_met(packed: DataFrame, percent: int, work, schema: str) -> DataFrame:
-    """work(meeting) of each shard, which yields RecordBatches."""
+def shards_met(packed: DataFrame, percent: int, work, schema: str, passes: int = 1) -> DataFrame:
+    """work(meeting) of each shard, which yields RecordBatches. packed: the rows of one of so many passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, waiting = None, []
@@ -307,7 +311,9 @@ def shards_met(packed: DataFrame, percent: int, work, schema: str) -> DataFrame:
             yield from work(Meeting(Rows.joined(waiting), percent))
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    # Shards of a pass are few, so twice as many tasks as its share; an empty one costs a start of Python.
+    n = n if passes == 1 else -(-2 * n // passes)
+    return packed.select("shard", "rows").repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 #: What the first meeting finds: pairs of nodes, whether b follows a, and leaders of parts (a is null).
@@ -433,7 +439,9 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
     order = Order.of(counts) if hub_rows is None else Order.of(counts, hub_rows)
     firsts = stash(items.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc", "rid", "line")).alias("place"), F.count("*").alias("copies")), "first-places")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // SHARD_TOKENS)
-    packed = stash(postings(docs, extract, order, percent, shards), "postings", packed=True)
+    passes = max(1, min(PASSES, shards // PASS_SHARDS))
+    packed = postings(docs, extract, order, percent, shards).withColumn("turn", F.col("shard") % passes)
+    packed = stash(packed, "postings", packed=True, by="turn" if passes > 1 else None)
 
     def in_order(pairs: DataFrame) -> DataFrame:
         """a, b: each pair once, the earlier one first."""
@@ -445,17 +453,21 @@ def matches(docs: DataFrame, extract: Extract, *, percent: int = 80, hub_rows: i
         swap = F.col("a_place") > F.col("b_place")
         return both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
-    found = stash(shards_met(packed, percent, first_meeting, _FOUND), "first-meeting")
+    met = [stash(shards_met(packed.filter(F.col("turn") == k), percent, first_meeting, _FOUND, passes), "first-meeting") for k in range(passes)]
+    found = functools.reduce(DataFrame.unionByName, met)
     tested = stash(in_order(found.filter("a is not null").select("a", "b")), "candidates")
     settled = linked(docs, extract, items, tested, percent).select(F.col("b").alias("node")).distinct()
     open_ = stash(found.filter("follows").select(F.col("b").alias("node")).distinct().join(settled, "node", "left_anti"), "open")
     if open_.isEmpty():
+        forget(packed, *met)
         return Matches(items, firsts, settled)
     more = second_meeting(packed.filter(F.col("shard") < shards), percent, filter_of(open_, lambda batch: iter([batch.column(0).to_numpy()])))
     if not found.filter("a is null").isEmpty():
         rows = stash(rows_in_parts(packed.filter(F.col("shard") >= shards)), "rows-in-parts")
         x, y = rows.alias("x"), rows.join(open_, "node", "left_semi").alias("y")
         more = more.unionByName(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & could_match("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    more = in_order(more).join(open_.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b").join(tested, ["a", "b"], "left_anti")
+    more = in_order(more)
+    forget(packed, *met)
+    more = more.join(open_.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b").join(tested, ["a", "b"], "left_anti")
     again = linked(docs, extract, items, stash(more, "candidates"), percent).select(F.col("b").alias("node"))
     return Matches(items, firsts, settled.unionByName(again).distinct())

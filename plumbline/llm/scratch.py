@@ -42,11 +42,13 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame, name: str, *, packed: bool = False) -> DataFrame:
+def stash(df: DataFrame, name: str, *, packed: bool = False, by: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives the loss of executors.
 
     packed: its values are packed or random bytes, so that they aren't compressed again (for which whole pages, and thus many large
     values, would be held outside of the heap). What was shuffled for the table goes once it is written.
+
+    by: the last column, of few values; what is filtered by it reads only what has its value.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -54,7 +56,7 @@ def stash(df: DataFrame, name: str, *, packed: bool = False) -> DataFrame:
     before = spark.conf.get(SHUFFLES_END, None)
     spark.conf.set(SHUFFLES_END, "true")
     try:
-        df.write.parquet(path, compression="uncompressed" if packed else None)
+        df.write.parquet(path, partitionBy=by, compression="uncompressed" if packed else None)
     finally:
         spark.conf.unset(SHUFFLES_END) if before is None else spark.conf.set(SHUFFLES_END, before)
     made.append(path)

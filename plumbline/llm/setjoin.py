@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.scratch import broadcast_upto, stash
+from plumbline.llm.scratch import broadcast_upto, forget, stash
 from plumbline.llm.words import SPACES, U, Words, mix, words, _ODD
 
 BITS = 20
@@ -456,11 +456,13 @@ class Found:
 def linked(docs: DataFrame, extract: Extract, items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough, each once."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    few = broadcast_upto(stash(nodes, "wanted-nodes"), BROADCAST_IDS)
-    rows = items.join(few, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
+    nodes = stash(nodes, "wanted-nodes")
+    rows = items.join(broadcast_upto(nodes, BROADCAST_IDS), "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
     wanted = stash(rows.groupBy("rid").agg(F.collect_list("node").alias("nodes")), "wanted")
     sets = stash(sets_of(docs.select("rid", "text"), wanted, extract), "sets", packed=True)
-    return stash(verified(pairs, sets, percent).distinct(), "links")
+    out = stash(verified(pairs, sets, percent).distinct(), "links")
+    forget(nodes, wanted, sets)
+    return out
 
 
 def scanned(docs: DataFrame, extract: Extract) -> tuple[DataFrame, Order]:
