@@ -16,11 +16,11 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.scratch import stash
+from plumbline.llm.scratch import stash, together
 
 #: The template: <|turn|>role<|text|>text<|end|>, turn after turn.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -56,25 +56,26 @@ def paths(messages: DataFrame) -> DataFrame:
     ids = m.select(F.col("tree").alias("t2"), F.col("id").alias("i2"))
     m = m.join(ids, (F.col("tree") == F.col("t2")) & (F.col("parent") == F.col("i2")), "left")
     # up: the ancestor 2**k above, if any; depth and sum: over the messages from here to below it. Table k holds the messages that
-    # found no root before, so tables shrink as paths end.
-    jumps = [stash(m.select("tree", "id", F.col("i2").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("sum")), "chat-0")]
-    ends = [jumps[0].filter("up is null")]
+    # found no root before, so tables shrink as paths end. All of them are read as one, so that plans stay small, however many there are.
+    first = m.select("tree", "id", F.col("i2").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("sum"), F.lit(0).alias("k"))
+    table, found, going = _stash_and_count(first, "chat-0", "up is null", "up is not null")
+    jumps = [table]
     # Every round finds the roots of messages up to twice as deep; one that finds none has only cycles left.
-    found, going = _counts(jumps[0])
     while found and going:
-        a, b = jumps[-1].filter("up is not null").alias("a"), reduce(DataFrame.unionByName, [*ends[:-1], jumps[-1]]).alias("b")
+        k = len(jumps)
+        a, b = jumps[-1].filter("up is not null").alias("a"), together(*jumps).filter(f"up is null or k = {k - 1}").alias("b")
         j = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")))
-        j = j.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.sum") + F.col("b.sum")).alias("sum"))
-        jumps.append(stash(j, f"chat-{len(jumps)}"))
-        ends.append(jumps[-1].filter("up is null"))
-        found, going = _counts(jumps[-1])
-    rooted = reduce(DataFrame.unionByName, ends)  # all but messages on or below a cycle
+        j = j.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.sum") + F.col("b.sum")).alias("sum"), F.lit(k).alias("k"))
+        table, found, going = _stash_and_count(j, f"chat-{k}", "up is null", "up is not null")
+        jumps.append(table)
+    rooted = together(*jumps).filter("up is null")  # all but messages on or below a cycle
     parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    best = stash(_best(rooted.join(parents, ["tree", "id"], "left_anti")), "chat-best")
+    best, branched = _stash_and_count(_best(rooted.join(parents, ["tree", "id"], "left_anti")), "chat-best", "leaves > 1")
     # All messages of a tree with one leaf are on its path.
     whole = rooted.select("tree", "id", "depth").join(best.filter("leaves = 1").select("tree", "path_score"), "tree")
-    marked = [best.filter("leaves > 1").select("tree", F.col("leaf").alias("id"), "depth", "path_score")]
-    if not marked[0].isEmpty():
+    marked = []
+    if branched:
+        marked = [best.filter("leaves > 1").select("tree", F.col("leaf").alias("id"), "depth", "path_score")]
         # Of several leaves, the best one marks its ancestors: each table, the longest jumps first, doubles what is marked.
         for k, j in reversed(list(enumerate(jumps))):
             steps = j.filter("up is not null").select("tree", "id", "up")
@@ -83,9 +84,11 @@ def paths(messages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [whole, *marked]).withColumn("depth", F.col("depth") - 1)
 
 
-def _counts(jumps: DataFrame) -> tuple[int, int]:
-    """How many messages have found their root, and how many have not."""
-    return jumps.agg(F.count(F.when(F.col("up").isNull(), 1)), F.count("up")).first()
+def _stash_and_count(df: DataFrame, name: str, *conditions: str) -> tuple:
+    """df by stash, and for each condition a number over 0 if any row meets it, counted as rows are written (in tasks run again, twice)."""
+    seen = Observation()
+    out = stash(df.observe(seen, *(F.count(F.when(F.expr(x), 1)).alias(f"n{i}") for i, x in enumerate(conditions))), name)
+    return out, *(seen.get[f"n{i}"] for i in range(len(conditions)))
 
 
 def _best(leaves: DataFrame) -> DataFrame:

@@ -126,6 +126,17 @@ def test_chat_paths(spark):
         assert sorted(got[t]) == list(enumerate(best[3]))
 
 
+def test_chat_plans(spark):
+    """Plans don't grow with the depth of trees: all tables of ancestors are one scan."""
+    scans = []
+    for n in (3, 300):
+        rows = [("t", i, i - 1 if i else None, 0.5) for i in range(n)]
+        out = chat.paths(spark.createDataFrame(rows, "tree string, id long, parent long, score double"))
+        scans.append(out._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        assert sorted((r.depth, r.id) for r in out.collect()) == [(i, i) for i in range(n)]
+    assert scans == [2, 2]
+
+
 def test_chat_odd(spark):
     kind = "conv_id long, turn long, role string, text string, id int"
     rows = [(None, 0, "user", "a", 1), (None, None, None, None, 1), (1, 0, "assistant", "", 1), (1, 0, "assistant", "", 1)]
