@@ -250,3 +250,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "a.hashes").read_text().splitlines() == [shown[1], shown[4]] and not (tmp_path / "bad.hashes").exists()
     with pytest.raises(SystemExit):
         main(["-b", "-"], spark)
+
+
+def test_each_field_is_sorted_once_a_part(monkeypatch):
+    """Fields are sorted no more often the deeper they lie."""
+    from plumbline.operators.canonical_tree import Canonical
+
+    sort, sorts = Canonical._sort, []
+    monkeypatch.setattr(Canonical, "_sort", lambda self, f, standard: (sorts.append(f), sort(self, f, standard))[1])
+    nested = ["completeness_verified"]
+    for _ in range(12):
+        nested = [nested, ["available"]]
+    text = flat({"type": "ObjectEvent", "persistentDisposition": {"set": nested}})
+    assert text.count("set=") == 13 and len(sorts) < 200
+    sorts.clear()
+    flat(SENSOR)
+    assert len(sorts) <= 3 * 10
+
+
+def test_headers_do_not_depend_on_order():
+    for name in ("ex:b", "deviceID"):
+        one, two = ({"type": "ObjectEvent", "ex:a": {name: {k: "1" for k in keys}}} for keys in ([name, "ex:y"], ["ex:y", name]))
+        assert all(flat(one, version=v) == flat(two, version=v) for v in ("2.0", "2.1"))
