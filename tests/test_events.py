@@ -272,3 +272,19 @@ def test_headers_do_not_depend_on_order():
     for name in ("ex:b", "deviceID"):
         one, two = ({"type": "ObjectEvent", "ex:a": {name: {k: "1" for k in keys}}} for keys in ([name, "ex:y"], ["ex:y", name]))
         assert all(flat(one, version=v) == flat(two, version=v) for v in ("2.0", "2.1"))
+
+
+def test_plain_events_of_many_forms(spark):
+    """Long lists, companies of 12 digits, fields left out and values with white space are as the tree has them."""
+    epcs = [f"urn:epc:id:sgtin:4012345.{i % 1000000:06d}.{i}" for i in range(20_000)]
+    events = [
+        {**PLAIN, "epcList": epcs}, {**PLAIN, "parentID": "urn:epc:id:pgln:401234500000."}, {**PLAIN, "transformationID": "urn:epc:id:gdti:123456789012..5"}, {**PLAIN, "quantityList": [{}, {"quantity": 3}]},
+        {**PLAIN, "epcList": ["urn:epc:id:sgtin:4012345.011111.9", 5, None]}, {**PLAIN, "epcList": None}, {**PLAIN, "action": None}, {**PLAIN, "bizStep": ""}, {**PLAIN, "bizStep": " [x"}, {**PLAIN, "readPoint": {}},
+        {**PLAIN, "sourceList": [{"type": " ", "source": " "}]}, {**PLAIN, "readPoint": "x"}, {**PLAIN, "action": [1]}, {**PLAIN, "eventTime": "2019-02-30T15:00:00Z"}, {**PLAIN, "disposition": "gs1:x", "bizStep": "12.0"},
+    ]
+    df = frame(spark, *events, '{"type": "ObjectEvent", "eventTime": "2019-04-02T15:00:00Z", "action": \n {"a": 1}, "epcList": \n ["urn:epc:id:sgtin:4012345.011111.9"]}')
+    routed = [r[0] for r in canonical.parsed(df).orderBy("event_ord").select(canonical.is_plain(Options())).collect()]
+    assert routed[:4] == [True] * 4 and not routed[4] and not routed[12] and not routed[-1]
+    for options in (Options(), Options(exclude=("type", "source", "bizTransaction", "bizStep"))):
+        one, two = (f(df, options).orderBy("event_ord").select("prehash", "error").collect() for f in (canonical.prehash, canonical.by_tree))
+        assert one == two
