@@ -23,6 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that are worth a shuffle, and how many times its share the largest task may have without one.
+_MANY, _UNEVEN = 50_000, 1.5
+
+
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's rows, dealt out to all cores if the scan leaves cores idle: hashing takes long a row, and a file of one row group is one
+    task, however many rows it has. Rows a task are counted first, from the files' footers."""
+    df = _table(spark, sf_dir, name)
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if sum(counts) > _MANY and max(counts) * cores > _UNEVEN * sum(counts) else df
+
+
 def _event(json: Column, *keys: str, namespaces: dict[str, str] | None = None) -> list[Column]:
     ns = F.create_map(*[F.lit(x) for kv in namespaces.items() for x in kv]) if namespaces else F.expr("cast(map() as map<string,string>)")
     return [*map(F.col, keys), json.alias("event_json"), ns.alias("namespaces")]
@@ -38,7 +51,7 @@ def _object_fields() -> list[Column]:
 
 
 def object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*_object_fields())), "event_id"))
+    return _dealt(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*_object_fields())), "event_id"))
 
 
 _CHECK = "((10 - list_sum(list_transform(range(1, len({d}) + 1), lambda i: ({d})[i]::INT * CASE WHEN (len({d}) - i) % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)::INT::VARCHAR"
@@ -93,7 +106,7 @@ def prehash_sensor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = F.struct(F.lit("Temperature").alias("type"), F.col("value"), F.lit("CEL").alias("uom"))
     sensor = F.struct(F.struct(_iso(F.col("ts")).alias("time")).alias("sensorMetadata"), F.array(report).alias("sensorReport"))
     json = F.to_json(F.struct(F.lit("ObjectEvent").alias("type"), _iso(F.col("ts")).alias("eventTime"), F.lit("OBSERVE").alias("action"), F.array(sensor).alias("sensorElementList")))
-    return _joined(canonical.prehash(_table(spark, sf_dir, "events").select(*_event(json, "event_id"))), "event_id")
+    return _joined(canonical.prehash(_dealt(spark, sf_dir, "events").select(*_event(json, "event_id"))), "event_id")
 
 
 _EXAMPLE = {"example": "https://ns.example.com/epcis"}
@@ -103,7 +116,7 @@ def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     place = F.struct(F.lit("urn:epc:id:sgln:4012345.00005.0").alias("id"), k.alias("example:k"))
     json = F.to_json(F.struct(F.lit("ObjectEvent").alias("type"), _iso(F.col("ts")).alias("eventTime"), F.lit("OBSERVE").alias("action"), place.alias("readPoint"), F.col("event_type").alias("example:kind")))
-    return _table(spark, sf_dir, "events").select(*_event(json, "event_id", namespaces=_EXAMPLE))
+    return _dealt(spark, sf_dir, "events").select(*_event(json, "event_id", namespaces=_EXAMPLE))
 
 
 def prehash_extension_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +200,7 @@ def _digests(name: str) -> list[str]:
 
 def _order_events(spark: SparkSession, sf_dir: str, *fields: Column) -> DataFrame:
     head = [F.lit("2024-01-01T02:00:00+02:00").alias("eventTime"), F.lit("+02:00").alias("eventTimeZoneOffset")]
-    return _table(spark, sf_dir, "orders").select(*_event(F.to_json(F.struct(*fields, *head)), "o_orderkey", namespaces={"cbvmda": "urn:epcglobal:cbv:mda"}))
+    return _dealt(spark, sf_dir, "orders").select(*_event(F.to_json(F.struct(*fields, *head)), "o_orderkey", namespaces={"cbvmda": "urn:epcglobal:cbv:mda"}))
 
 
 def _key(lead: str) -> Column:
@@ -235,7 +248,7 @@ def bad_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all events, some of them cut off: those give a row with an error, the others go on."""
     raw = F.to_json(F.struct(F.struct(F.array(F.struct(*_object_fields())).alias("eventList")).alias("epcisBody")))
     cut = F.when(F.col("event_type") == "error", F.concat(F.lit("cut off "), raw)).otherwise(raw)
-    out = canonical.prehash(explode(_table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("source_file"), cut.alias("raw"))))
+    out = canonical.prehash(explode(_dealt(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("source_file"), cut.alias("raw"))))
     return out.select(F.col("source_file").cast("long").alias("event_id"), F.col("error").isNull().alias("fine"))
 
 
@@ -261,7 +274,7 @@ def _as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = F.struct(F.lit("Temperature").alias("type"), F.lit(26).alias("value"), F.lit("CEL").alias("uom"))
     sensor = F.struct(F.struct(_iso(F.col("ts")).alias("time")).alias("sensorMetadata"), F.array(report).alias("sensorReport"))
     fields = [F.col("event_type").alias("example:kind"), F.array(sensor).alias("sensorElementList"), F.array(transaction).alias("bizTransactionList"), *_object_fields()]
-    return _table(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*fields)), "event_id", namespaces=_EXAMPLE))
+    return _dealt(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*fields)), "event_id", namespaces=_EXAMPLE))
 
 
 def prehash_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,18 +306,20 @@ def format_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = list(reversed(_object_fields()))
     changed = F.when(F.col("event_type") == "error", "fault").otherwise(F.col("event_type"))
     fields[2] = F.concat(F.lit("urn:epcglobal:cbv:bizstep:"), changed).alias("bizStep")
-    two = _table(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*fields)), "event_id"))
+    two = _dealt(spark, sf_dir, "events").select(*_event(F.to_json(F.struct(*fields)), "event_id"))
     return _unmatched(_hashed(object_events(spark, sf_dir)), _hashed(two))
 
 
-def _user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of events that tell no more than who did what, so that many are the same; a third each is in one of three spellings."""
+def _user_events(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """Hashes of events that tell no more than who did what, so that many are the same; a third each is in one of three spellings.
+    where: which events of the table are hashed at all."""
+    table = _dealt(spark, sf_dir, "events")
     epc = F.concat(F.lit("urn:epc:id:giai:4012345."), F.col("user_id").cast("string"))
     spelled = lambda step, time: F.to_json(F.struct(step.alias("bizStep"), F.array(epc).alias("epcList"), F.lit(time).alias("eventTime"), F.lit("ObjectEvent").alias("type"), F.col("event_id").alias("eventID")))
     plain, kind = F.col("event_type"), F.col("event_id") % 3
     json = F.when(kind == 0, spelled(plain, "2024-01-01T00:00:00Z")).when(kind == 1, spelled(F.concat(F.lit("urn:epcglobal:cbv:bizstep:"), plain), "2024-01-01T01:00:00.000+01:00"))
     json = json.otherwise(spelled(F.concat(F.lit("https://ref.gs1.org/cbv/BizStep-"), plain), "2023-12-31T23:30:00-00:30"))
-    return _hashed(_table(spark, sf_dir, "events").select(*_event(json, "event_id", "user_id", "event_type"))).select("event_id", "user_id", "event_type", "hash_id")
+    return _hashed((table if where is None else table.filter(where)).select(*_event(json, "event_id", "user_id", "event_type"))).select("event_id", "user_id", "event_type", "hash_id")
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,9 +332,8 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_events_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events after the first day whose hash no event of that day has."""
-    days = _table(spark, sf_dir, "events").select("event_id", (F.dayofmonth("ts") == 1).alias("old"))
-    e = _user_events(spark, sf_dir).join(days, "event_id")
-    return store.new_events(e.filter("not old"), e.filter("old"), "hash_id").select("event_id", "hash_id")
+    old = F.dayofmonth("ts") == 1
+    return store.new_events(_user_events(spark, sf_dir, ~old), _user_events(spark, sf_dir, old), "hash_id").select("event_id", "hash_id")
 
 
 def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +376,7 @@ def links_of_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     urns = [F.concat(F.lit(urn.split("{k5}")[0]), k, F.lit(urn.split("{k5}")[1])) for urn, _ in _SCHEME_CASES.values()]
     urn = F.element_at(F.array(*urns), (F.col("p_partkey") % len(urns) + 1).cast("int"))
     json = F.to_json(F.struct(F.lit("ObjectEvent").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("eventTime"), urn.alias("parentID")))
-    events = _table(spark, sf_dir, "part").select(*_event(json, "p_partkey"), urn.alias("urn"))
+    events = _dealt(spark, sf_dir, "part").select(*_event(json, "p_partkey"), urn.alias("urn"))
     one = canonical.prehash(events).select("p_partkey", "urn", F.regexp_extract("prehash", "parentID=(.*)", 1).alias("link"))
     return one.select("p_partkey", "link", (digital_link_column(F.col("urn")) == F.col("link")).alias("same"))
 

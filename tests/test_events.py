@@ -288,3 +288,24 @@ def test_plain_events_of_many_forms(spark):
     for options in (Options(), Options(exclude=("type", "source", "bizTransaction", "bizStep"))):
         one, two = (f(df, options).orderBy("event_ord").select("prehash", "error").collect() for f in (canonical.prehash, canonical.by_tree))
         assert one == two
+
+
+def test_rows_are_dealt_out(spark, tmp_path):
+    """One row group is no longer one task; what is spread or small is left alone."""
+    from plumbline import queries
+
+    spark.range(60_000).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(60_000).repartition(4).write.parquet(str(tmp_path / "spread.parquet"))
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "small.parquet"))
+    largest = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    dealt = queries._dealt(spark, str(tmp_path), "one")
+    assert dealt.count() == 60_000 and largest(dealt) < 30_000
+    for name in ("spread", "small"):
+        assert "Exchange" not in queries._dealt(spark, str(tmp_path), name)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_events_reads_and_hashes_each_event_once(spark):
+    from plumbline import queries
+
+    plan = queries.new_events_anti(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("from_json") == 4
